@@ -24,9 +24,58 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_quality_rules(spark, sf_dir):
+    from .quality_rules import BASE, judge, train
+
+    docs = table(spark, sf_dir, "documents")
+    got = judge(docs, train(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", *BASE, "base_failed", "kept", "score")
+
+
+def op5_line_quality(spark, sf_dir):
+    from .line_quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_language(spark, sf_dir):
+    from .language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
+def op2_secrets(spark, sf_dir):
+    from .secrets import scan, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
+
+
+def op9_near_dup(spark, sf_dir):
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op6_decontaminate(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_tool_calls(spark, sf_dir):
+    from .tool_calls import SCHEMAS, derived_calls, link
+
+    return link(*derived_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {}
+    from .tool_calls import ORACLE
+
+    return {"op8_tool_calls": ORACLE}
