@@ -5,7 +5,7 @@ from __future__ import annotations
 from .common import scratch, table
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -15,13 +15,13 @@ def op10_token_files(spark, sf_dir):
     from .token_files import read_token_files, write_token_files
 
     out = scratch(spark, "tokens")
-    return read_token_files(spark, out, write_token_files(table(spark, sf_dir, "documents"), out, _tokenizer()))
+    return read_token_files(spark, out, write_token_files(table(spark, sf_dir, "documents"), out, tokenizer()))
 
 
 def op7_packing(spark, sf_dir):
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op4_quality_rules(spark, sf_dir):
