@@ -65,6 +65,12 @@ def op6_decontaminate(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_tool_calls(spark, sf_dir):
     from .tool_calls import SCHEMAS, derived_calls, link
 
