@@ -107,24 +107,29 @@ def suffix_order(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     place = np.argsort(words, kind="stable")
     order = at[place]
     n, width = len(at), 1
+    first = np.flatnonzero(np.concatenate([[True], words[place[1:]] != words[place[:-1]]]))
+    size = np.diff(np.concatenate([first, [n]]))
+    head, tail = np.repeat(first, size), np.repeat(first + size, size)
     while width < n:
         heads = np.arange(width, n, 2 * width)
+        heads = heads[head[heads] < heads]
         todo = heads[~less(order[heads - 1], order[heads], True)]
-        if len(todo):
-            size_b = np.minimum(width, n - todo)
-            a = (todo[:, None] - width + np.arange(width)).ravel()
-            b_pair = np.repeat(np.arange(len(todo)), size_b)
+        if len(todo):  # only the strings with the first bytes of those at the seam move
+            size_a = np.minimum(width, todo - head[todo])
+            size_b = np.minimum(np.minimum(width, n - todo), tail[todo] - todo)
+            a_pair, b_pair = np.repeat(np.arange(len(todo)), size_a), np.repeat(np.arange(len(todo)), size_b)
+            begin = todo - size_a
+            a = np.arange(size_a.sum()) - np.repeat(np.cumsum(size_a) - size_a, size_a) + begin[a_pair]
             b = np.arange(size_b.sum()) - np.repeat(np.cumsum(size_b) - size_b, size_b) + todo[b_pair]
-            a_pair = np.repeat(np.arange(len(todo)), width)
             target = []
-            for items, lo0, hi0, own, or_equal in ((a, todo[a_pair], (todo + size_b)[a_pair], a - todo[a_pair] + width, False), (b, todo[b_pair] - width, todo[b_pair], b - todo[b_pair], True)):
+            for items, lo0, hi0, own, or_equal in ((a, todo[a_pair], (todo + size_b)[a_pair], a - begin[a_pair], False), (b, begin[b_pair], todo[b_pair], b - todo[b_pair], True)):
                 lo, hi = lo0.copy(), hi0.copy()
                 while (wide := lo < hi).any():
                     mid = np.where(wide, (lo + hi) // 2, lo0)
                     before = less(order[mid], order[items], or_equal)
                     lo, hi = np.where(wide & before, mid + 1, lo), np.where(wide & ~before, mid, hi)
                 target.append(own + lo - lo0)
-            new = np.concatenate([target[0] + todo[a_pair] - width, target[1] + todo[b_pair] - width])
+            new = np.concatenate([target[0] + begin[a_pair], target[1] + begin[b_pair]])
             moved = np.concatenate([order[a], order[b]])
             moved_place = np.concatenate([place[a], place[b]])
             order[new], place[new] = moved, moved_place
