@@ -14,6 +14,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,19 +238,24 @@ def _edges(joined: DataFrame) -> DataFrame:
         for ids, texts, more in _blocks(batches):
             doc, start, count, key, _ = runs(texts)
             first = np.searchsorted(doc, np.arange(len(texts)))
-            out = [[], [], [], []]
+            out, single = [], []
             for d, (marks,) in enumerate(more):
                 m = _marks(marks)
                 for x in m[m % 4 > WHOLE].tolist():
                     i = first[d] + x // 4
                     s, c = int(start[i]), int(count[i])
                     if x % 4 == EDGE:
-                        pieces = [(int(key[i].view("<i8")), s, c)]
+                        out.append((int(key[i].view("<i8")), ids[d], s, texts[d][s : s + c + N - 1]))
                     else:
-                        pieces = [(int.from_bytes(hashlib.blake2b(texts[d][p : p + N], digest_size=8).digest(), "little", signed=True), p, 1) for p in range(s, s + c)]
-                    for k, p, c in pieces:
-                        for col, v in zip(out, (k, ids[d], p, texts[d][p : p + c + N - 1])):
-                            col.append(v)
+                        single += ((texts[d][p : p + N], ids[d], p) for p in range(s, s + c))
+            least: dict[bytes, int] = {}
+            for part, doc_id, _ in single:
+                least[part] = min(doc_id, least.get(part, doc_id))
+            for part, doc_id, p in single:  # only the first document of the block has to ask the others
+                settled = least[part] < doc_id
+                place = str(doc_id).encode() if settled else part
+                out.append((int.from_bytes(hashlib.blake2b(place, digest_size=8).digest(), "little", signed=True), doc_id, p, None if settled else part))
+            out = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["place", "doc_id", "at", "part"])
 
     return joined.mapInArrow(edges, "place long, doc_id long, at long, part binary")
@@ -273,6 +279,10 @@ def _sorted_strings(edges: DataFrame) -> DataFrame:
     def sort(batches):
         held, size, at = ([], [], []), 0, None
         for batch in batches:
+            known = batch.filter(pc.is_null(batch.column(3)))
+            if known.num_rows:
+                yield _per_doc(known.column(1).to_numpy(), known.column(2).to_numpy())
+            batch = batch.filter(pc.is_valid(batch.column(3)))
             for place, doc, start, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if place != at and size > SORT_STRINGS:
                     yield settle(*held)
