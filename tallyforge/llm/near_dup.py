@@ -6,13 +6,15 @@ mostly equal. Bands of registers give candidates, a joint likelihood of two regi
 drops those that are far from similar, and the full sets of the rest are compared.
 
 No pair of one set's copies is ever made: equal sets become one class first. Small buckets give all their pairs,
-large ones pairs with their smallest member; a large bucket that still spans several components after that is
-compared block by block, so no link between different sets is lost to a bucket's size.
+large ones pairs with their smallest member. In a large bucket that still spans several components, those outside
+its commonest one meet a few members of that one, and what is then still outside meets all other members, block by
+block: no link between different sets is lost to a bucket's size.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +28,9 @@ BANDS = REGISTERS // ROWS
 SCALE, BASE, TOP = 20.0, 1.001, 65535
 #: Pairs below this estimate, over six deviations under the threshold, are not compared in full.
 LEAST_ESTIMATE = 0.6
-SMALL_BUCKET, BLOCK = 16, 128
+SMALL_BUCKET, BLOCK, PIVOTS = 16, 128, 4
+#: A block holds about so many shingles at most, as long as one text has fewer.
+BLOCK_SHINGLES = 1_000_000
 
 _RNG = np.random.default_rng(92)
 _XOR = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)[:, None]
@@ -162,31 +166,71 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidates of large buckets that span components, block against block, never a bucket in one task."""
+def _open(keys: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large buckets that span components: their members (key, doc_id, comp), and for each key its commonest component."""
     placed = keys.join(comp.hint("merge"), keys["doc_id"] == comp["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    members = placed.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("merge"), "key")
-    with_sketch = members.join(reps.select("doc_id", "sketch", "n_shingles").hint("merge"), "doc_id")
-    mine = with_sketch.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = each.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "comp", "sketch", "n_shingles")
-
-    def compare(pdf):
-        pdf = pdf.drop_duplicates(["doc_id"])
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
+    return placed, main
+
+
+def _pivots(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """Candidates between the members outside a bucket's commonest component and PIVOTS members of it, others for
+    each bucket: linear in the bucket, and most of those outside are linked here."""
+    placed, main = _open(keys, comp)
+    members = placed.join(main.hint("merge"), "key")
+    at = lambda i: F.min(F.when(F.col("comp") == F.col("main"), F.struct(F.xxhash64("doc_id", "key", F.lit(i)).alias("h"), "doc_id")))["doc_id"]
+    chosen = members.groupBy("key").agg(F.array(*(at(i) for i in range(PIVOTS))).alias("pivots"))
+    pairs = members.where("comp <> main").select("key", "doc_id").join(chosen.hint("merge"), "key").select("doc_id", F.explode("pivots").alias("p"))
+    return pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
+
+
+def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+    """All other candidates of large buckets that span components, (a, b, at): each member outside the commonest
+    component against every member of the other components. Blocks of the ones meet blocks of the others, never a
+    bucket in one task; `at` names one meeting of the pair."""
+    placed, main = _open(keys, comp)
+    members = placed.join(main.hint("merge"), "key").join(reps.select("doc_id", "sketch", "n_shingles").hint("merge"), "doc_id")
+    blocks = lambda few: F.greatest(F.ceil(F.count(F.when(few, 1)) / BLOCK), F.ceil(F.sum(F.when(few, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
+    shape = members.groupBy("key").agg(blocks(F.col("comp") != F.col("main")).alias("xs"), blocks(F.lit(True)).alias("ys"))
+    dealt = members.join(shape.hint("merge"), "key").withColumn("h", F.xxhash64("doc_id"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["doc_id", "comp", "sketch", "n_shingles"]
+    base = dealt.select("key", F.pmod("h", "ys").cast("int").alias("y"), spread("xs").alias("x"), F.lit(False).alias("probe"), *cols)
+    probe = dealt.where("comp <> main").select("key", spread("ys").alias("y"), F.pmod("h", "xs").cast("int").alias("x"), F.lit(True).alias("probe"), *cols)
+
+    def compare(key, pdf):
+        is_probe = pdf["probe"].to_numpy()
         regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
         ids, comps, n = pdf["doc_id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(float)
-        out = []
-        for i in range(len(ids)):
-            j = np.flatnonzero((comps != comps[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= 80 * np.maximum(n, n[i])))
+        bases, out = np.flatnonzero(~is_probe), []
+        for i in np.flatnonzero(is_probe):
+            j = bases[(comps[bases] != comps[i]) & (100 * np.minimum(n[bases], n[i]) >= 80 * np.maximum(n[bases], n[i]))]
+            j = j[(regs[j] == regs[i]).sum(1) >= REGISTERS // 2]
             if len(j):
                 j = j[joint_estimate(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j]) >= LEAST_ESTIMATE]
-                out += [(ids[i], x) for x in ids[j]]
-        import pandas as pd
+                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
+        found = pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+        return found.assign(key=key[0], x=key[1], y=key[2])
+
+    met = base.unionByName(probe).groupBy("key", "x", "y").applyInPandas(compare, "a long, b long, key long, x int, y int")
+    return met.groupBy("a", "b").agg(F.min(F.struct("key", "x", "y")).alias("at"))
+
+
+def _verified_in_blocks(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As _verified, for pairs (a, b, at) that lie densely in blocks: a text travels once to each block that needs it."""
+    wanted = pairs.select("at", F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = wanted.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text").hint("merge"), "id").select("at.*", "id", "text")
 
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def compare(left, right):
+        sets = {i: shingle_set(t, width) for i, t in zip(right["id"], right["text"])}
+        keep = []
+        for a, b in zip(left["a"], left["b"]):
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            keep.append(100 * common >= percent * (len(sets[a]) + len(sets[b]) - common))
+        return left.loc[keep, ["a", "b"]]
 
-    return dealt.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return pairs.select("at.*", "a", "b").groupBy("key", "x", "y").cogroup(texts.groupBy("key", "x", "y")).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -211,11 +255,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stored(_verified(likely, docs, width, percent), "verified")
     comp = stored(components(links), "components")
     large = inside.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id")
+    near = stored(_likely(_pivots(large, comp).join(likely.hint("merge"), ["a", "b"], "left_anti"), reps), "likely")
+    if not near.isEmpty():
+        links = stored(links.union(_verified(near, docs, width, percent)), "verified")
+        comp = stored(components(links), "components")
+        likely = likely.union(near)
     more = stored(_rest(large, comp, reps).join(likely.hint("merge"), ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
-        comp = stored(components(links.union(_verified(more, docs, width, percent))), "components")
-    for df in (inside, likely):
-        dropped(df)
+        comp = stored(components(links.union(_verified_in_blocks(more, docs, width, percent))), "components")
+    dropped(inside)
     named = reps.join(comp.hint("merge"), reps["doc_id"] == comp["node"], "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
     out = met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named.hint("merge"), "fp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
