@@ -23,18 +23,20 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether each node is either linked to one smaller node or named by larger ones, not both: all links are stars."""
+    roles = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+    seen = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the component is its smallest node. Links may repeat, run
     either way and name a node with itself; nodes without links are not listed; nulls are ignored."""
     now = stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-    while mark[0]:
+    while not _settled(now):
         new = stored(_star(_star(now, True), False), "links")
-        fresh = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         dropped(now)
         now = new
-        if fresh == mark:
-            break
-        mark = fresh
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))

@@ -6,9 +6,9 @@ mostly equal. Bands of registers give candidates, a joint likelihood of two regi
 drops those that are far from similar, and the full sets of the rest are compared.
 
 No pair of one set's copies is ever made: equal sets become one class first. Small buckets give all their pairs,
-large ones pairs with their smallest member. In a large bucket that still spans several components, those outside
-its commonest one meet a few members of that one, and what is then still outside meets all other members, block by
-block: no link between different sets is lost to a bucket's size.
+large ones pairs with their smallest member and with one chosen by a hash of the bucket, so similar buckets have
+different centres. In a large bucket that still spans several components, those outside its commonest one meet all
+other members, block by block: no link between different sets is lost to a bucket's size.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BANDS = REGISTERS // ROWS
 SCALE, BASE, TOP = 20.0, 1.001, 65535
 #: Pairs below this estimate, over six deviations under the threshold, are not compared in full.
 LEAST_ESTIMATE = 0.6
-SMALL_BUCKET, BLOCK, PIVOTS = 16, 128, 4
+SMALL_BUCKET, BLOCK = 16, 128
 #: A block holds about so many shingles at most, as long as one text has fewer.
 BLOCK_SHINGLES = 1_000_000
 
@@ -174,17 +174,6 @@ def _open(keys: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, main
 
 
-def _pivots(keys: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidates between the members outside a bucket's commonest component and PIVOTS members of it, others for
-    each bucket: linear in the bucket, and most of those outside are linked here."""
-    placed, main = _open(keys, comp)
-    members = placed.join(main.hint("merge"), "key")
-    at = lambda i: F.min(F.when(F.col("comp") == F.col("main"), F.struct(F.xxhash64("doc_id", "key", F.lit(i)).alias("h"), "doc_id")))["doc_id"]
-    chosen = members.groupBy("key").agg(F.array(*(at(i) for i in range(PIVOTS))).alias("pivots"))
-    pairs = members.where("comp <> main").select("key", "doc_id").join(chosen.hint("merge"), "key").select("doc_id", F.explode("pivots").alias("p"))
-    return pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-
-
 def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
     """All other candidates of large buckets that span components, (a, b, at): each member outside the commonest
     component against every member of the other components. Blocks of the ones meet blocks of the others, never a
@@ -246,20 +235,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = met.where("fp is not null and doc_id is not null")
     reps = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id"))["doc_id"].alias("pivot")).where("n > 1")
     inside = stored(keys.join(sizes.hint("merge"), "key"), "buckets")
-    stars = inside.where((F.col("n") > SMALL_BUCKET) & (F.col("doc_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    centres = inside.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode(F.array("least", "pivot")).alias("c")).where("doc_id <> c")
+    stars = centres.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
     few = inside.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     one = few.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
     likely = stored(_likely(stars.union(one).distinct(), reps), "likely")
     links = stored(_verified(likely, docs, width, percent), "verified")
     comp = stored(components(links), "components")
     large = inside.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id")
-    near = stored(_likely(_pivots(large, comp).join(likely.hint("merge"), ["a", "b"], "left_anti"), reps), "likely")
-    if not near.isEmpty():
-        links = stored(links.union(_verified(near, docs, width, percent)), "verified")
-        comp = stored(components(links), "components")
-        likely = likely.union(near)
     more = stored(_rest(large, comp, reps).join(likely.hint("merge"), ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
         comp = stored(components(links.union(_verified_in_blocks(more, docs, width, percent))), "components")

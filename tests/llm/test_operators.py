@@ -72,6 +72,25 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
 
 
+def test_links_in_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Chains of near copies whose ends differ: centres do not link all, so blocks must."""
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    words = prose(70, 200).split()
+    texts = [" ".join(words[4 * k : 4 * k + 80] + [f"end{k}"]) for k in range(30)] + [" ".join(words[:60] + prose(80 + k, 9).split() + words[60:120]) for k in range(12)]
+    texts = [texts[i] for i in np.random.default_rng(5).permutation(len(texts))]
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert 1 < len(set(root)) < len(root)
+    got = near_dup.near_duplicates(frame(spark, texts), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+
+
 def test_decontamination_finds_planted_passages(spark):
     items = spark.createDataFrame([(1, prose(50, 40)), (2, None), (3, "")], "item_id long, text string")
     planted = prose(50, 40)
