@@ -87,18 +87,29 @@ def band_keys(sketch: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(sketch[b * ROWS : b * ROWS + ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
-def joint_estimate(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> np.ndarray:
-    """Most likely Jaccard similarity of each pair of register vectors, given both set sizes, on a grid of 0.01."""
+def _log_likelihood(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each pair of register vectors (rows) at each similarity j (columns), given both set sizes."""
     above, below = (u > v).sum(1), (u < v).sum(1)
     same = u.shape[1] - above - below
     a = nu / (nu + nv)
     b = 1 - a
-    j = np.arange(0, 1.0001, 0.01)[None, :]
     p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
     up, down = p(a[:, None] - b[:, None] * j), p(b[:, None] - a[:, None] * j)
-    like = above[:, None] * np.log(up) + below[:, None] * np.log(down) + same[:, None] * np.log(np.clip(1 - up - down, 1e-12, None))
+    return above[:, None] * np.log(up) + below[:, None] * np.log(down) + same[:, None] * np.log(np.clip(1 - up - down, 1e-12, None))
+
+
+def joint_estimate(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> np.ndarray:
+    """Most likely Jaccard similarity of each pair of register vectors, given both set sizes, on a grid of 0.01."""
+    j = np.arange(0, 1.0001, 0.01)[None, :]
     feasible = j <= np.minimum(nu / nv, nv / nu)[:, None] + 1e-9
-    return j[0][np.where(feasible, like, -np.inf).argmax(1)]
+    return j[0][np.where(feasible, _log_likelihood(u, v, nu, nv, j), -np.inf).argmax(1)]
+
+
+def likely_similar(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, least: float = LEAST_ESTIMATE) -> np.ndarray:
+    """Whether the joint estimate reaches `least`. The likelihood has one maximum, so two neighbouring points of the
+    grid tell on which side it lies; the sizes must allow `least`."""
+    at = _log_likelihood(u, v, nu, nv, np.array([[least - 0.01, least]]))
+    return at[:, 1] > at[:, 0]
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -135,7 +146,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 2048)
                 u, v = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 4))
                 nu, nv = (part.column(k).to_numpy().astype(float) for k in (3, 5))
-                keep = joint_estimate(u, v, nu, nv) >= LEAST_ESTIMATE
+                keep = likely_similar(u, v, nu, nv)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     return both.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(estimate, "a long, b long")
@@ -195,9 +206,8 @@ def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
         bases, out = np.flatnonzero(~is_probe), []
         for i in np.flatnonzero(is_probe):
             j = bases[(comps[bases] != comps[i]) & (100 * np.minimum(n[bases], n[i]) >= 80 * np.maximum(n[bases], n[i]))]
-            j = j[(regs[j] == regs[i]).sum(1) >= REGISTERS // 2]
             if len(j):
-                j = j[joint_estimate(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j]) >= LEAST_ESTIMATE]
+                j = j[likely_similar(regs[i][None, :], regs[j], np.full(len(j), n[i]), n[j])]
                 out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
         found = pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
         return found.assign(key=key[0], x=key[1], y=key[2])

@@ -72,6 +72,21 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
 
 
+def test_two_points_of_the_likelihood_decide_as_its_maximum():
+    rng = np.random.default_rng(3)
+    u, v, nu, nv = [], [], [], []
+    for similarity in rng.uniform(0.4, 0.9, 300):
+        size = int(rng.integers(50, 500))
+        ids = rng.integers(0, 1 << 63, 3 * size, dtype=np.uint64)
+        common = int(size * 2 * similarity / (1 + similarity))
+        a, b = ids[:size], ids[size - common : 2 * size - common - int(rng.integers(0, size // 10))]
+        for out, x in ((u, near_dup.registers(a)), (v, near_dup.registers(b)), (nu, float(len(a))), (nv, float(len(b)))):
+            out.append(x)
+    u, v, nu, nv = map(np.array, (u, v, nu, nv))
+    want = near_dup.joint_estimate(u, v, nu, nv) >= near_dup.LEAST_ESTIMATE - 1e-9
+    assert 20 < want.sum() < 280 and (near_dup.likely_similar(u, v, nu, nv) == want).all()
+
+
 def test_links_in_large_buckets_equal_brute_force(spark, monkeypatch):
     """Chains of near copies whose ends differ: centres do not link all, so blocks must."""
     monkeypatch.setattr(near_dup, "SMALL_BUCKET", 2)
