@@ -185,12 +185,30 @@ def _open(keys: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, main
 
 
-def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """All other candidates of large buckets that span components, (a, b, at): each member outside the commonest
-    component against every member of the other components. Blocks of the ones meet blocks of the others, never a
-    bucket in one task; `at` names one meeting of the pair."""
+def _candidates(key: int, pdf: pd.DataFrame):
+    """Of one meeting of blocks: each probe's row with the rows that the estimate cannot rule out. A pair is
+    met in the bucket of the first band that it shares, and only there: an earlier bucket with both was either small,
+    with all its pairs compared, or is open too."""
+    regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, BANDS, ROWS)
+    band = band_keys(regs[0].reshape(-1)).index(key)
+    comps, n, is_probe = pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(float), pdf["probe"].to_numpy()
+    bases = np.flatnonzero(~is_probe)
+    for i in np.flatnonzero(is_probe):
+        j = bases[(comps[bases] != comps[i]) & (100 * np.minimum(n[bases], n[i]) >= 80 * np.maximum(n[bases], n[i]))]
+        j = j[~(regs[j, :band] == regs[i, :band]).all(2).any(1)]
+        if len(j):
+            j = j[likely_similar(regs[i].reshape(1, -1), regs[j].reshape(-1, REGISTERS), np.full(len(j), n[i]), n[j])]
+        if len(j):
+            yield i, j
+
+
+def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links in large buckets that span components: each member outside the commonest component against every member
+    of the other components. Blocks of the ones meet blocks of the others, never a bucket in one task. Sketches
+    tell which members a meeting needs; their texts travel there once, and only links come out."""
     placed, main = _open(keys, comp)
-    members = placed.join(main.hint("merge"), "key").join(reps.select("doc_id", "sketch", "n_shingles").hint("merge"), "doc_id")
+    sized = reps.select("doc_id", "sketch", "n_shingles")
+    members = placed.join(main.hint("merge"), "key").join(sized.hint("merge"), "doc_id")
     blocks = lambda few: F.greatest(F.ceil(F.count(F.when(few, 1)) / BLOCK), F.ceil(F.sum(F.when(few, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
     shape = members.groupBy("key").agg(blocks(F.col("comp") != F.col("main")).alias("xs"), blocks(F.lit(True)).alias("ys"))
     dealt = members.join(shape.hint("merge"), "key").withColumn("h", F.xxhash64("doc_id"))
@@ -199,37 +217,30 @@ def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
     base = dealt.select("key", F.pmod("h", "ys").cast("int").alias("y"), spread("xs").alias("x"), F.lit(False).alias("probe"), *cols)
     probe = dealt.where("comp <> main").select("key", spread("ys").alias("y"), F.pmod("h", "xs").cast("int").alias("x"), F.lit(True).alias("probe"), *cols)
 
-    def compare(key, pdf):
-        is_probe = pdf["probe"].to_numpy()
-        regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
-        ids, comps, n = pdf["doc_id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(float)
-        bases, out = np.flatnonzero(~is_probe), []
-        for i in np.flatnonzero(is_probe):
-            j = bases[(comps[bases] != comps[i]) & (100 * np.minimum(n[bases], n[i]) >= 80 * np.maximum(n[bases], n[i]))]
-            if len(j):
-                j = j[likely_similar(regs[i][None, :], regs[j], np.full(len(j), n[i]), n[j])]
-                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
-        found = pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
-        return found.assign(key=key[0], x=key[1], y=key[2])
-
-    met = base.unionByName(probe).groupBy("key", "x", "y").applyInPandas(compare, "a long, b long, key long, x int, y int")
-    return met.groupBy("a", "b").agg(F.min(F.struct("key", "x", "y")).alias("at"))
-
-
-def _verified_in_blocks(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """As _verified, for pairs (a, b, at) that lie densely in blocks: a text travels once to each block that needs it."""
-    wanted = pairs.select("at", F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = wanted.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text").hint("merge"), "id").select("at.*", "id", "text")
-
-    def compare(left, right):
-        sets = {i: shingle_set(t, width) for i, t in zip(right["id"], right["text"])}
-        keep = []
-        for a, b in zip(left["a"], left["b"]):
-            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            keep.append(100 * common >= percent * (len(sets[a]) + len(sets[b]) - common))
-        return left.loc[keep, ["a", "b"]]
-
-    return pairs.select("at.*", "a", "b").groupBy("key", "x", "y").cogroup(texts.groupBy("key", "x", "y")).applyInPandas(compare, "a long, b long")
+    def needed(key, pdf):
+        rows = set()
+        for i, j in _candidates(key[0], pdf):
+            rows.add(i)
+            rows.update(j)
+        return pdf.iloc[sorted(rows)][["key", "x", "y", "probe", "doc_id", "comp"]]
+
+    def linked(key, pdf):
+        ids, texts, sets, out = pdf["doc_id"].tolist(), pdf["text"].tolist(), {}, []
+        for i, js in _candidates(key[0], pdf):
+            for j in js:
+                for k in (i, j):
+                    if ids[k] not in sets:
+                        sets[ids[k]] = shingle_set(texts[k], width)
+                one, two = sets[ids[i]], sets[ids[j]]
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * common >= percent * (len(one) + len(two) - common):
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    wanted = stored(base.unionByName(probe).groupBy("key", "x", "y").applyInPandas(needed, "key long, x int, y int, probe boolean, doc_id long, comp long"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    full = wanted.join(sized.hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id")
+    return full.groupBy("key", "x", "y").applyInPandas(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,10 +266,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stored(_verified(likely, docs, width, percent), "verified")
     comp = stored(components(links), "components")
     large = inside.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id")
-    more = stored(_rest(large, comp, reps).join(likely.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    more = stored(_rest(large, comp, reps, docs, width, percent), "rest")
     if not more.isEmpty():
-        comp = stored(components(links.union(_verified_in_blocks(more, docs, width, percent))), "components")
-    dropped(inside)
+        comp = stored(components(links.union(more)), "components")
+    for df in (inside, likely):
+        dropped(df)
     named = reps.join(comp.hint("merge"), reps["doc_id"] == comp["node"], "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
     out = met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named.hint("merge"), "fp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
