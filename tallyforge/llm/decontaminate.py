@@ -2,12 +2,17 @@
 
 Benchmark texts are cut into overlapping windows. A region within e edits of a window of m bytes shares at least
 m - Q + 1 - Q * e of its q-grams, on diagonals that differ by at most e. Hits are counted in overlapping diagonal
-bands, bands that reach the bound are kept, and a banded alignment decides. Texts are compared as UTF-8 bytes with
-A-Z in lower case and each ASCII white space as a blank.
+bands, bands that reach the bound are kept, and a banded alignment decides. Texts are compared as UTF-8 bytes after
+NFC and case folding of all letters, with each ASCII white space as a blank; positions count the bytes of the text
+as it was.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +27,44 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fold(text: str) -> bytes:
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
     return text.encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
+@cache
+def _seconds() -> frozenset[str]:
+    """Characters that NFC may join with the one before them although they aren't combining marks, and some marks."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x20000))
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<") | frozenset(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
+
+
+@cache
+def _joins(char: str) -> bool:
+    first = unicodedata.normalize("NFD", char)[0]
+    return unicodedata.combining(first) > 0 or first in _seconds()
+
+
+class Places:
+    """Way back from positions in fold(text) to positions in the UTF-8 bytes of text."""
+
+    def __init__(self, text: str):
+        self.raw = self.folded = None
+        if text.isascii():
+            return
+        begins = [i for i, c in enumerate(text) if not i or not _joins(c)]
+        self.raw, self.folded = [0], [0]
+        for a, b in zip(begins, [*begins[1:], len(text)]):
+            self.raw.append(self.raw[-1] + len(text[a:b].encode("utf-8", "surrogatepass")))
+            self.folded.append(self.folded[-1] + len(fold(text[a:b])))
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The least stretch of whole letters of text that covers the bytes start to end of fold(text)."""
+        if self.raw is None:
+            return start, end
+        return self.raw[min(bisect_right(self.folded, start), len(self.raw) - 1) - 1], self.raw[min(bisect_left(self.folded, end), len(self.raw) - 1)]
+
+
 def grams(buf: np.ndarray) -> np.ndarray:
     """64-bit hash of the Q bytes at each position, from two overlapping words of eight bytes."""
     n = len(buf)
@@ -159,7 +199,7 @@ LEAKS = "doc_id long, item_id long, n_windows long, edits long, start long, end
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs and benchmark item that leaks into it: how many windows match, the least edits
-    of one, and the bytes from the first to the last match in the folded text.
+    of one, and the UTF-8 bytes of the text from the first to the last match.
 
     Null or empty texts on either side match nothing, nor do items under Q bytes; repeated documents give repeated
     rows; empty tables give no rows; other columns are not read.
@@ -176,7 +216,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         n, e, s, t = rows.get((first + d, item), (set(), edits, start, end))
                         n.add(end // STEP)
                         rows[first + d, item] = (n, min(e, edits), min(s, start), max(t, end))
-                got = [(ids[d], item, len(n), e, s, t) for (d, item), (n, e, s, t) in sorted(rows.items())]
+                places = {d: Places(batch.column(1)[d].as_py()) for d in {d for d, _ in rows}}
+                got = [(ids[d], item, len(n), e, *places[d].span(s, t)) for (d, item), (n, e, s, t) in sorted(rows.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * 6)], names=["doc_id", "item_id", "n_windows", "edits", "start", "end"])
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, LEAKS)

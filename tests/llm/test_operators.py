@@ -1,6 +1,7 @@
 """Small tests of the other operators against brute force, round trips and planted cases."""
 
 import re
+import unicodedata
 import zlib
 from hashlib import sha256
 
@@ -116,6 +117,30 @@ def test_decontamination_finds_planted_passages(spark):
     assert decontaminate.without_leaks(docs, items.limit(0)).count() == 10
 
 
+def test_decontamination_folds_case_of_all_letters(spark):
+    """An accented item in capitals, letter by letter in NFD and with ß as SS; positions are those of the text."""
+    item = "l'été où la forêt brûlée reçut à noël une âme très âgée, señor, ñandú, größe, straße, αγάπη ἀρχή, дом"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    upper, before = item.upper(), "ÀİK ŉ " * 3
+    texts = [before + t + "\nÉÉ" for t in (item, upper, unicodedata.normalize("NFD", upper))] + ["É" * 300, upper[: len(upper) // 4]]
+    got = {r["doc_id"]: r for r in decontaminate.leaks(frame(spark, texts), items).collect()}
+    assert sorted(got) == [0, 1, 2] and {r["edits"] for r in got.values()} == {0}
+    for d, t in enumerate(texts[:3]):
+        assert t.encode()[got[d]["start"] : got[d]["end"]].decode() == t[len(before) : -3]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(frame(spark, texts), items).collect()] == [3, 4]
+
+
+def test_positions_of_folded_texts_lead_back():
+    rng, letters = np.random.default_rng(9), "aEéÉ\u0301\u0308\u0327ßİΣςΐ\u0345\u1100\u1161\u11a8가\u0f73\u09c7\u09be\u212a中 \n"
+    for _ in range(300):
+        text = "".join(letters[i] for i in rng.integers(0, len(letters), 12))
+        places = decontaminate.Places(text)
+        if places.raw:
+            assert (places.raw[-1], places.folded[-1]) == (len(text.encode()), len(decontaminate.fold(text)))
+            whole = [decontaminate.fold(text.encode()[a:b].decode()) for a, b in zip(places.raw, places.raw[1:])]
+            assert b"".join(whole) == decontaminate.fold(text)
+
+
 def test_secrets_equal_the_fixed_rules(spark):
     hexes = "0123456789abcdef" * 3
     texts = [*ODD, 'Password = "hunter2hunter2" tail', "AKIA" + "A1" * 8, "AKIA12", f"é {hexes}g", "token: short", f"API_KEY={hexes} api-key=x"]
