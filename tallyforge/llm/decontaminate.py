@@ -1,10 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark texts are cut into overlapping windows. A region within e edits of a window of m bytes shares at least
-m - Q + 1 - Q * e of its q-grams, on diagonals that differ by at most e. Hits are counted in overlapping diagonal
-bands, bands that reach the bound are kept, and a banded alignment decides. Texts are compared as UTF-8 bytes after
-NFC and case folding of all letters, with each ASCII white space as a blank; positions count the bytes of the text
-as it was.
+Benchmark texts are cut into overlapping windows of two lengths. Every PASSAGE bytes in a row of an item hold a whole
+short window, so a verbatim quotation of that length (about 7 words) is found at any offset, and so is a changed one
+that leaves a short window within its edits (2); long windows, and whole items that are shorter, allow up to EDITS.
+Quotations under PASSAGE bytes are found only where they hold a whole window or item.
+
+A region within e edits of a window of m bytes shares at least m - Q + 1 - Q * e of its q-grams, on diagonals that
+differ by at most e. Hits are counted in overlapping diagonal bands, bands that reach the bound are kept, and a banded
+alignment decides. Texts are compared as UTF-8 bytes after NFC and case folding of all letters, with each ASCII white
+space as a blank; positions count the bytes of the text as it was.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q, WINDOW, STEP, EDITS = 12, 100, 50, 6
+#: The shortest passage that must be found at any offset, and the step of the short windows, which are as long as the
+#: passage leaves them.
+PASSAGE, SHORT_STEP = 50, 10
+SHORT = PASSAGE - SHORT_STEP + 1
 TABLE_BITS = 22
 #: Benchmark bytes that go to the executors at once; more of them take further passes over the documents.
 BLOCK_BYTES = 8_000_000
@@ -89,21 +97,23 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.at, self.text = [], [], []
-        for item, text in items:
-            b = fold(text).strip(b" ")
-            starts = range(0, max(1, len(b) - WINDOW + STEP), STEP) if len(b) > WINDOW else (0,)
-            for s in dict.fromkeys(min(s, max(0, len(b) - WINDOW)) for s in starts):
-                if len(b) >= Q:
-                    self.item.append(item), self.at.append(s), self.text.append(b[s : s + WINDOW])
+        folded = [(item, fold(text).strip(b" ")) for item, text in items]
+        for most, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+            for item, b in folded:
+                if len(b) < Q or most == SHORT >= len(b):
+                    continue
+                last = max(0, len(b) - most)
+                for s in dict.fromkeys((*range(0, last, step), last)):
+                    self.item.append(item), self.at.append(s), self.text.append(b[s : s + most])
         self.length = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.array([edits_allowed(len(t)) for t in self.text], np.int64)
         self.need = np.maximum(1, self.length - Q + 1 - Q * self.edits)
         self.padded = np.zeros((len(self.text), WINDOW), np.uint8)
-        hashes, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        hashes, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int16)]
         for w, t in enumerate(self.text):
             self.padded[w, : len(t)] = np.frombuffer(t, np.uint8)
             g = grams(np.frombuffer(t, np.uint8))
-            hashes.append(g), owner.append(np.full(len(g), w)), offset.append(np.arange(len(g)))
+            hashes.append(g), owner.append(np.full(len(g), w, np.int32)), offset.append(np.arange(len(g), dtype=np.int16))
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
         self.owner, self.offset = np.concatenate(owner)[order], np.concatenate(offset)[order]
@@ -111,8 +121,8 @@ class Windows:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.keys >> np.uint64(64 - TABLE_BITS)] = True
 
-    def find(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, edits, start, end) of every verified region of folded documents; positions in bytes."""
+    def find(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
+        """(document, item, edits, start, end, window) of every verified region of folded documents; positions in bytes."""
         gap = WINDOW + 4 * EDITS + 8
         buf = np.frombuffer((b"\x00" * gap).join([b"", *docs, b""]), np.uint8)
         bounds = np.cumsum([gap, *(len(d) + gap for d in docs)])[:-1] if docs else np.zeros(0, int)
@@ -128,7 +138,7 @@ class Windows:
         times = self.count[k]
         pos = np.repeat(at, times)
         slot = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        window, diagonal = self.owner[slot], pos - self.offset[slot] + WINDOW
+        window, diagonal = self.owner[slot].astype(np.int64), pos - self.offset[slot] + WINDOW
         half = EDITS + 1
         band = np.concatenate([diagonal // (2 * half) * 2, (diagonal + half) // (2 * half) * 2 + 1])
         window = np.concatenate([window, window])
@@ -146,7 +156,7 @@ class Windows:
             cost, end = self._align(buf, w, s - EDITS)
             for i in np.flatnonzero(cost <= self.edits[w]):
                 d = int(np.searchsorted(bounds, s[i] + half + self.length[w[i]] // 2, side="right")) - 1
-                found.append((d, self.item[w[i]], int(cost[i]), max(0, int(end[i] - self.length[w[i]] - bounds[d])), int(end[i] - bounds[d])))
+                found.append((d, self.item[w[i]], int(cost[i]), max(0, int(end[i] - self.length[w[i]] - bounds[d])), int(end[i] - bounds[d]), int(w[i])))
         return found
 
     def _align(self, buf: np.ndarray, window: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +167,7 @@ class Windows:
         cost = np.zeros((len(window), width), np.int32)
         cost_end, end = np.full(len(window), 1 << 20, np.int32), np.zeros(len(window), np.int64)
         length = self.length[window]
-        for i in range(WINDOW):
+        for i in range(int(length.max())):
             place = start[:, None] + i + far
             text = np.where((place >= 0) & (place < len(buf)), buf[np.clip(place, 0, len(buf) - 1)], 0)
             new = cost + (text != self.padded[window, i][:, None])
@@ -198,8 +208,8 @@ LEAKS = "doc_id long, item_id long, n_windows long, edits long, start long, end
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each row of docs and benchmark item that leaks into it: how many windows match, the least edits
-    of one, and the UTF-8 bytes of the text from the first to the last match.
+    """One row for each row of docs and benchmark item that leaks into it: how many of the item's windows match, the
+    least edits of one, and the UTF-8 bytes of the text from the first to the last match.
 
     Null or empty texts on either side match nothing, nor do items under Q bytes; repeated documents give repeated
     rows; empty tables give no rows; other columns are not read.
@@ -212,9 +222,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = batch.column(0).to_pylist()
                 rows = {}
                 for first, block in _texts(batch.column(1)):
-                    for d, item, edits, start, end in windows.find(block):
+                    for d, item, edits, start, end, window in windows.find(block):
                         n, e, s, t = rows.get((first + d, item), (set(), edits, start, end))
-                        n.add(end // STEP)
+                        n.add(window)
                         rows[first + d, item] = (n, min(e, edits), min(s, start), max(t, end))
                 places = {d: Places(batch.column(1)[d].as_py()) for d in {d for d, _ in rows}}
                 got = [(ids[d], item, len(n), e, *places[d].span(s, t)) for (d, item), (n, e, s, t) in sorted(rows.items())]

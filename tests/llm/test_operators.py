@@ -130,6 +130,24 @@ def test_decontamination_folds_case_of_all_letters(spark):
     assert [r["doc_id"] for r in decontaminate.without_leaks(frame(spark, texts), items).collect()] == [3, 4]
 
 
+def test_decontamination_finds_quoted_parts_at_every_offset(spark):
+    """Parts of PASSAGE bytes of a long item, at each offset, as they are and with a letter changed in each window's
+    reach; items just over a short window; words of six letters replaced so often that long windows exceed their edits."""
+    item, short = prose(51, 40), prose(52, 7)[: decontaminate.PASSAGE + 3]
+    n = decontaminate.PASSAGE
+    parts = [x[o : o + n] for x in (item, short) for o in range(len(x) - n + 1)]
+    swapped = item
+    for o in range(20, len(item), n + 6):
+        swapped = swapped[:o] + "qqqqqq" + swapped[o + 6 :]
+    texts = [prose(100) + p + prose(101) for p in (*parts, *(p[:25] + "#" + p[26:] for p in parts), swapped)]
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    docs = frame(spark, [*texts, prose(102), item[:30]])
+    rows = decontaminate.leaks(docs, items).collect()
+    assert sorted({r["doc_id"] for r in rows}) == list(range(len(texts)))
+    assert all(r["item_id"] == (1 if i < len(item) - n + 1 else 2) for r in rows if (i := r["doc_id"]) < len(parts))
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, items).collect()) == [len(texts), len(texts) + 1]
+
+
 def test_positions_of_folded_texts_lead_back():
     rng, letters = np.random.default_rng(9), "aEéÉ\u0301\u0308\u0327ßİΣςΐ\u0345\u1100\u1161\u11a8가\u0f73\u09c7\u09be\u212a中 \n"
     for _ in range(300):
