@@ -16,6 +16,9 @@ from .common import dropped, stored
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool}
 
+#: Ways around a cycle double for ever; they stop here.
+_FAR = 1 << 40
+
 
 def canonical(value) -> str:
     """JSON with sorted keys, no blanks and no needless escapes."""
@@ -56,23 +59,29 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level): 0 for a call without dependencies among the calls, else one more than its deepest one.
 
-    Each round settles the calls whose dependencies are settled, so the rounds are the length of the longest chain;
-    calls on a cycle, and those that depend on one, get null.
+    steps has, for each call, the calls it still waits for and the longest way to each; a null stands for the bottom.
+    Each round puts in place of every awaited call that itself awaits at most one what that call awaits, so the reach
+    along a chain doubles and the rounds grow with the logarithm of its length; where each call awaits several that
+    never come together, a round settles one more of the chain. steps doesn't grow. Each round settles a call unless
+    all that are left are on a cycle, or depend on one: these get null.
     """
     ids = calls.where("call_id is not null").select("call_id").distinct()
     edges = calls.where("call_id is not null").select("call_id", F.explode("depends_on").alias("dep")).distinct().join(ids.withColumnRenamed("call_id", "dep").hint("shuffle_hash"), "dep", "left_semi")
-    edges = stored(edges.select("call_id", "dep"), "calls")
-    settled = ids.join(edges.hint("shuffle_hash"), "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
-    done = wave = stored(settled, "levels")
-    level = 0
-    open_ = edges
-    while not open_.isEmpty() and not wave.isEmpty():
-        level += 1
-        left = stored(open_.join(wave.select(F.col("call_id").alias("dep")).hint("shuffle_hash"), "dep", "left_anti").select("call_id", "dep"), "calls")
-        wave = stored(open_.select("call_id").distinct().join(left.hint("shuffle_hash"), "call_id", "left_anti").select("call_id", F.lit(level).alias("level")), "levels")
-        dropped(open_)
-        open_, done = left, done.union(wave)
-    return ids.join(done.hint("shuffle_hash"), "call_id", "left")
+    steps = stored(ids.join(edges.select("call_id", "dep").hint("shuffle_hash"), "call_id", "left").withColumn("way", F.when(F.col("dep").isNull(), 0).otherwise(1).cast("long")), "levels")
+    waiting = lambda: steps.where("dep is not null").select("call_id").distinct().count()
+    before, left = None, waiting()
+    while left and left != before:
+        bottom, onward = F.max(F.when(F.col("dep").isNull(), F.col("way"))), F.max(F.when(F.col("dep").isNotNull(), F.col("way")))
+        simple = steps.groupBy(F.col("call_id").alias("via")).agg(F.count("dep").alias("n"), F.max("dep").alias("next"), bottom.alias("bottom"), onward.alias("onward")).where("n <= 1").drop("n")
+        add = lambda c: F.least(F.col("way") + F.col(c), F.lit(_FAR))
+        none = F.lit(None).cast("string")
+        ways = F.when(F.col("via").isNull(), F.array(F.struct("dep", "way"))).otherwise(F.array(F.struct(none.alias("dep"), F.when(F.col("bottom").isNotNull(), add("bottom")).alias("way")), F.struct(F.col("next").alias("dep"), F.when(F.col("next").isNotNull(), add("onward")).alias("way"))))
+        met = steps.where("dep is not null").join(simple.hint("shuffle_hash"), F.col("dep") == F.col("via"), "left").select("call_id", F.inline(ways)).union(steps.where("dep is null"))
+        after = stored(met.where("way is not null").groupBy("call_id", "dep").agg(F.max("way").alias("way")), "levels")
+        dropped(steps)
+        steps = after
+        before, left = left, waiting()
+    return steps.groupBy("call_id").agg(F.when(F.count("dep") == 0, F.max("way")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -203,3 +203,35 @@ def test_tool_calls_link_and_order(spark):
     assert [got[k]["status"] for k in "abq"] == ["linked", "no_result", "orphan_result"]
     assert got["a"]["valid"] and got["b"]["errors"] == "$.size: below minimum"
     assert got["a"]["message"] == '{"arguments":{"size":70},"depends_on":[],"id":"a","name":"measure","result":{"b":2,"z":1}}'
+
+
+def test_levels_of_long_chains_and_random_graphs(spark, monkeypatch):
+    """A chain of thousands needs few rounds; chains, diamonds, cycles and random graphs equal brute force."""
+    rng, rounds = np.random.default_rng(4), []
+    monkeypatch.setattr(tool_calls, "stored", lambda df, name, f=tool_calls.stored: (rounds.append(name), f(df, name))[1])
+    deps = {f"c{i}": {f"c{i - 1}"} for i in range(3000)} | {f"o{i}": {f"o{(i + 1) % 7}"} for i in range(7)} | {"p": {"o3", "c5"}, "q": {"p"}}
+    for i in range(90):
+        deps |= {f"a{i}": {f"d{i - 1}"}, f"b{i}": {f"a{i}"}, f"d{i}": {f"a{i}", f"b{i}", "c7"}}
+    rows = [(1, k, "none", "{}", sorted(v)) for k, v in deps.items()]
+    tangled = {f"r{i}": {f"r{j}" for j in rng.integers(0, i + (i % 20 == 0), 3)} for i in range(1, 60)}
+    level = {}
+
+    def find(k, graph, path=()):
+        if k not in level:
+            found = [-1] + [None if d in path + (k,) else find(d, graph, path + (k,)) for d in graph[k] if d in graph]
+            level[k] = None if None in found else max(found) + 1
+        return level[k]
+
+    schema = "conv_id long, call_id string, name string, arguments string, depends_on array<string>"
+    for i in range(3000):
+        level[f"c{i}"] = i
+    for k in deps:
+        find(k, deps)
+    got = tool_calls.levels(spark.createDataFrame(rows, schema)).collect()
+    assert {r["call_id"]: r["level"] for r in got} == level and len(got) == len(deps)
+    assert level["q"] is level["o1"] is None and level["d89"] > 180 and len(rounds) < 25
+    level.clear()
+    for k in tangled:
+        find(k, tangled)
+    got = tool_calls.levels(spark.createDataFrame([(1, k, "none", "{}", sorted(v)) for k, v in tangled.items()], schema)).collect()
+    assert {r["call_id"]: r["level"] for r in got} == level
