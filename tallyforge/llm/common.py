@@ -31,11 +31,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go as soon as the query that wrote them has ended, not when the driver's memory is next cleaned.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and Spark knows the true size."""
+    """Write df to the shared folder and read it back: lineage ends here, its shuffle files go and Spark knows the true
+    size."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -1,10 +1,11 @@
 """Suffix-array dedup across documents: strings of N bytes that also start in a document with a smaller id.
 
 Every string of N bytes belongs to its least K-gram hash, so equal strings of two documents have equal keys. A run is
-a stretch of neighbouring strings with one key. Runs travel as two 64-bit hashes: those that an earlier document has
-whole are settled by them. The edges of repeats, runs whose key other texts share, are fetched as bytes and
-suffix-sorted: prefix polynomial hashes and binary search find the common extension of two suffixes, mergesort orders
-them by it, and bytes confirm each equality.
+a stretch of neighbouring strings with one key. Runs travel as two hashes of different make, 96 bits in all: a polynomial
+of their bytes and one of the mixed hashes of their K-grams. Runs that an earlier document has whole are settled by
+them. The edges of repeats, runs whose key other texts share, are fetched as bytes and suffix-sorted: prefix
+polynomial hashes and binary search find the common extension of two suffixes, mergesort orders them by it, and bytes
+confirm each equality.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 N, K = 50, 16
 #: Text bytes for each bucket of run hashes, and for one block of documents within a task.
 BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 4_000_000
-#: A key with more different runs than this is sorted string by string in as many places.
+#: A key with more different runs than this is a hot one: its strings are dealt to places by their own hashes instead of
+#: by the key, so that no place holds them all. Either way gives the same result.
 MANY_RUNS = 256
 SORT_STRINGS = 200_000
 WHOLE, EDGE, MANY = 1, 2, 3
@@ -32,8 +34,9 @@ _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
-RUN = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<u4"), ("run", "<u4")])
-MARKS = "doc_id long, marks binary"
+#: key: 32 bits of the key, enough within a bucket (keys that agree in them only cost sorting).
+RUN = np.dtype([("key", "<u4"), ("check", "<u4"), ("hash", "<u8"), ("doc", "<u4"), ("run", "<u4")])
+MARKS = "doc_id long, version long, marks binary"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,15 +57,16 @@ def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, np.cumprod(inverse)
 
 
-def runs(docs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(document, first string, number of strings, key, hash) of all runs of a block of documents; positions are
-    bytes from the document's start. A document's runs don't depend on its neighbours."""
+def runs(docs: list[bytes], hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """(document, first string, number of strings, key, hash, check) of all runs of a block of documents; positions
+    are bytes from the document's start. A document's runs don't depend on its neighbours. hashed=False leaves the
+    two hashes out."""
     sizes = np.array([len(d) for d in docs], np.int64)
     ends = np.cumsum(sizes)
     buf = np.frombuffer(b"".join(docs), np.uint8)
-    empty = np.zeros(0, np.int64)
+    none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(buf) < N:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none, none, none, no_hash, no_hash, no_hash
     total, inverse = prefix_hashes(buf)
     grams = _mix((total[K:] - total[:-K]) * inverse[: len(buf) - K + 1])
     low, width = grams, 1
@@ -76,12 +80,18 @@ def runs(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     good = at + N <= ends[doc]
     at, doc, low = at[good], doc[good], low[good]
     if not len(at):
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none, none, none, no_hash, no_hash, no_hash
     first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
     count = np.diff(np.concatenate([first, [len(at)]]))
     start, doc, key = at[first], doc[first], low[first]
+    local = start - (ends - sizes)[doc]
+    if not hashed:
+        return doc, local, count, key, no_hash, no_hash
     digest = _mix((total[start + count + N - 1] - total[start]) * inverse[start] + count.astype(np.uint64))
-    return doc, start - (ends - sizes)[doc], count, key, digest
+    grams *= np.cumprod(np.full(len(grams), np.uint64(_B)))
+    sums = np.concatenate([no_hash, [np.uint64(0)], np.cumsum(grams)])
+    check = _mix((sums[start + count + N - K] - sums[start]) * inverse[start]) >> np.uint64(32)
+    return doc, local, count, key, digest, check
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,37 +156,38 @@ def suffix_order(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _blocks(batches):
-    """(ids, texts, other columns) in blocks of about BLOCK_BYTES."""
-    ids, texts, more, size = [], [], [], 0
+    """The columns of batches as lists, in blocks of about BLOCK_BYTES of text (the third column)."""
+    held: list[list] = []
+    size = 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            ids.append(batch.column(0)[i].as_py())
-            texts.append((batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"))
-            more.append([batch.column(c)[i].as_py() for c in range(2, batch.num_columns)])
-            size += len(texts[-1])
+        cols = [c.to_pylist() for c in batch.columns]
+        held, lo = held or [[] for _ in cols], 0
+        for i, text in enumerate(cols[2]):
+            size += len(text or b"")
             if size >= BLOCK_BYTES:
-                yield ids, texts, more
-                ids, texts, more, size = [], [], [], 0
-    if ids:
-        yield ids, texts, more
+                yield [h + c[lo : i + 1] for h, c in zip(held, cols)]
+                held, lo, size = [[] for _ in cols], i + 1, 0
+        held = [h + c[lo:] for h, c in zip(held, cols)]
+    if held and held[0]:
+        yield held
 
 
 def _hashed(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, the block's ids and its runs that fall into the bucket."""
+    """bucket, the block's (doc_id, version) and its runs that fall into the bucket."""
 
     def hashed(batches):
-        for ids, texts, _ in _blocks(batches):
-            doc, _, _, key, digest = runs(texts)
+        for ids, versions, texts in _blocks(batches):
+            doc, _, _, key, digest, check = runs(texts)
             if not len(doc):
                 continue
             rec = np.empty(len(doc), RUN)
-            rec["key"], rec["hash"], rec["doc"] = key, digest, doc
+            rec["key"], rec["check"], rec["hash"], rec["doc"] = key, check, digest, doc
             rec["run"] = np.arange(len(doc)) - np.searchsorted(doc, doc)
             bucket = ((key * np.uint64(_B)) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             rec, bucket = rec[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            known = np.array(ids, "<i8")
+            known = np.array([ids, versions], "<i8").T
             out = [[], [], []]
             for a, b in zip(cuts, [*cuts[1:], len(rec)]):
                 part = rec[a:b]
@@ -187,28 +198,31 @@ def _hashed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(hashed, "bucket long, ids binary, runs binary")
 
 
-def _per_doc(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    pieces = [value[a:b].astype("<i8").tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "marks"])
+def _per_doc(doc: np.ndarray, version: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """One row for each document: its values, interleaved, in order of the first."""
+    order = np.lexsort((values[0], version, doc))
+    doc, version, value = doc[order], version[order], np.stack(values, 1)[order].astype("<i8")
+    new = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    cuts = np.flatnonzero(np.concatenate([[True], new])) if len(doc) else np.zeros(0, int)
+    pieces = [value[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)])]
+    return pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array(version[cuts], pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "version", "marks"])
 
 
 def _settle(parts: list[tuple[bytes, bytes]], many: int) -> pa.RecordBatch:
     """Marks run * 4 + kind of all runs in a bucket that an earlier document has, or whose key other runs share."""
     recs = [np.frombuffer(r, RUN) for _, r in parts]
-    doc = np.concatenate([np.frombuffer(i, "<i8")[r["doc"]] for (i, _), r in zip(parts, recs)])
+    ids = np.concatenate([np.frombuffer(i, "<i8").reshape(-1, 2)[r["doc"]] for (i, _), r in zip(parts, recs)])
     rec = np.concatenate(recs)
-    order = np.lexsort((doc, rec["hash"], rec["key"]))
-    doc, key, digest, run = doc[order], rec["key"][order], rec["hash"][order], rec["run"][order].astype(np.int64)
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_run = new_key | np.concatenate([[True], digest[1:] != digest[:-1]])
+    key = (rec["key"].astype(np.uint64) << np.uint64(32)) | rec["check"]
+    order = np.lexsort((ids[:, 0], rec["hash"], key))
+    (doc, version), key, digest, run = ids[order].T, key[order], rec["hash"][order], rec["run"][order].astype(np.int64)
+    new_key = np.concatenate([[True], key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)])
+    new_run = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
     least = doc[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
     variants = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
     kind = np.where(doc > least, WHOLE, np.where(variants > many, MANY, np.where(variants > 1, EDGE, 0)))
     take = kind > 0
-    return _per_doc(doc[take], run[take] * 4 + kind[take])
+    return _per_doc(doc[take], version[take], run[take] * 4 + kind[take])
 
 
 def _marked(hashed: DataFrame, many: int) -> DataFrame:
@@ -227,68 +241,88 @@ def _marked(hashed: DataFrame, many: int) -> DataFrame:
     return hashed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, MARKS)
 
 
-def _marks(lists) -> np.ndarray:
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal stretches that spans cover; touching ones are one."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return start[head], end[np.concatenate([head[1:], [len(end)]]) - 1]
+
+
+def _joined(lists) -> np.ndarray:
     return np.frombuffer(b"".join(lists or []), "<i8")
 
 
 def _edges(joined: DataFrame) -> DataFrame:
-    """The bytes of edges: whole runs by their key, or single strings by their hash where a key has many runs."""
+    """What marks ask for: the bytes of edges (whole runs by their key, or single strings by their hash where a key has
+    many runs), and the settled stretches, which need no sort and have no bytes."""
 
     def edges(batches):
-        for ids, texts, more in _blocks(batches):
-            doc, start, count, key, _ = runs(texts)
+        for ids, versions, texts, marks in _blocks(batches):
+            doc, start, count, key, _, _ = runs(texts, hashed=False)
             first = np.searchsorted(doc, np.arange(len(texts)))
             out, single = [], []
-            for d, (marks,) in enumerate(more):
-                m = _marks(marks)
-                for x in m[m % 4 > WHOLE].tolist():
-                    i = first[d] + x // 4
-                    s, c = int(start[i]), int(count[i])
-                    if x % 4 == EDGE:
-                        out.append((int(key[i].view("<i8")), ids[d], s, texts[d][s : s + c + N - 1]))
-                    else:
-                        single += ((texts[d][p : p + N], ids[d], p) for p in range(s, s + c))
+            for d, (text, lists) in enumerate(zip(texts, marks)):
+                m = _joined(lists)
+                whole = first[d] + m[m % 4 == WHOLE] // 4
+                for a, b in zip(*(x.tolist() for x in _merged(start[whole], start[whole] + count[whole] + N - 1))):
+                    out.append((ids[d], ids[d], versions[d], a, b, None))
+                for k in (EDGE, MANY):
+                    i = first[d] + m[m % 4 == k] // 4
+                    for place, s, c in zip(key[i].view("<i8").tolist(), start[i].tolist(), count[i].tolist()):
+                        if k == EDGE:
+                            out.append((place, ids[d], versions[d], s, s + c + N - 1, text[s : s + c + N - 1]))
+                        else:
+                            single += ((text[p : p + N], ids[d], versions[d], p) for p in range(s, s + c))
             least: dict[bytes, int] = {}
-            for part, doc_id, _ in single:
+            for part, doc_id, _, _ in single:
                 least[part] = min(doc_id, least.get(part, doc_id))
-            for part, doc_id, p in single:  # only the first document of the block has to ask the others
-                settled = least[part] < doc_id
-                place = str(doc_id).encode() if settled else part
-                out.append((int.from_bytes(hashlib.blake2b(place, digest_size=8).digest(), "little", signed=True), doc_id, p, None if settled else part))
-            out = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["place", "doc_id", "at", "part"])
+            for part, doc_id, version, p in single:  # only the first document of the block has to ask the others
+                known = least[part] < doc_id
+                place = doc_id if known else int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+                out.append((place, doc_id, version, p, p + N, None if known else part))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))], names=["place", "doc_id", "version", "start", "end", "part"])
 
-    return joined.mapInArrow(edges, "place long, doc_id long, at long, part binary")
+    return joined.mapInArrow(edges, "place long, doc_id long, version long, start long, end long, part binary")
 
 
-def _sorted_strings(edges: DataFrame) -> DataFrame:
-    """Starts of strings that an earlier document has, by suffix sorts of whole places."""
+def _spans(edges: DataFrame) -> DataFrame:
+    """Stretches to remove: the settled ones, and strings that an earlier document has, by suffix sorts of whole places."""
 
-    def settle(docs, starts, parts):
+    def settle(docs, versions, starts, parts):
         buf = np.frombuffer(b"".join(parts), np.uint8)
         count = np.array([len(p) - N + 1 for p in parts])
         base = np.cumsum([0, *map(len, parts)])[:-1]
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at, doc, begin = np.repeat(base, count) + inner, np.repeat(np.array(docs), count), np.repeat(np.array(starts), count) + inner
+        at, begin = np.repeat(base, count) + inner, np.repeat(np.array(starts), count) + inner
         place, equal = suffix_order(buf, at)
-        doc, begin = doc[place], begin[place]
+        owner, begin = np.repeat(np.arange(len(docs)), count)[place], begin[place]
+        doc, version = np.array(docs)[owner], np.array(versions)[owner]
         heads = np.flatnonzero(~equal)
         least = np.minimum.reduceat(doc, heads)[np.cumsum(~equal) - 1]
-        return _per_doc(doc[doc > least], begin[doc > least])
+        gone = doc > least
+        doc, version, begin = doc[gone], version[gone], begin[gone]
+        order = np.lexsort((begin, version, doc))  # neighbouring strings are one stretch
+        doc, version, begin = doc[order], version[order], begin[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (begin[1:] > begin[:-1] + 1)])) if len(doc) else np.zeros(0, int)
+        return _per_doc(doc[new], version[new], begin[new], begin[np.concatenate([new[1:], [len(doc)]]) - 1] + N if len(doc) else begin)
 
     def sort(batches):
-        held, size, at = ([], [], []), 0, None
+        held, size, at = ([], [], [], []), 0, None
         for batch in batches:
-            known = batch.filter(pc.is_null(batch.column(3)))
+            known = batch.filter(pc.is_null(batch.column(5)))
             if known.num_rows:
-                yield _per_doc(known.column(1).to_numpy(), known.column(2).to_numpy())
-            batch = batch.filter(pc.is_valid(batch.column(3)))
-            for place, doc, start, part in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _per_doc(*(known.column(c).to_numpy() for c in (1, 2, 3, 4)))
+            batch = batch.filter(pc.is_valid(batch.column(5)))
+            for place, doc, version, start, part in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5))):
                 if place != at and size > SORT_STRINGS:
                     yield settle(*held)
-                    held, size = ([], [], []), 0
+                    held, size = ([], [], [], []), 0
                 at = place
-                for col, v in zip(held, (doc, start, part)):
+                for col, v in zip(held, (doc, version, start, part)):
                     col.append(v)
                 size += len(part) - N + 1
         if size:
@@ -304,35 +338,30 @@ def repeated_spans(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
     """One row for each row of docs: removed byte spans of its UTF-8 text, their counts and the digest of the rest.
 
     A byte goes if a string of N bytes over it also starts in a document with a smaller doc_id. Null texts are empty;
-    texts under N bytes lose nothing; rows with a null doc_id neither lose nor cause anything; rows of one doc_id
-    don't remove one another; an empty table gives no rows; other columns are not read.
+    texts under N bytes lose nothing; a text of any length is hashed in one task that holds it; rows with a null doc_id
+    neither lose nor cause anything; rows of one doc_id, of equal or different texts, don't remove one another; an
+    empty table gives no rows; other columns are not read.
+
+    Runs of texts travel once as records of 24 bytes, texts twice, next to what is asked of them; the shuffles and
+    tables of a step are removed before the next but one.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    gathered = lambda df: df.groupBy("doc_id", "version").agg(F.collect_list("marks").alias("marks"))
     marks = stored(_marked(_hashed(known, max(1, total // BUCKET_BYTES)), many_runs), "marks")
-    gathered = lambda df: df.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    with_edges = known.join(gathered(marks).hint("merge"), "doc_id").select("doc_id", "text", "marks")
-    edges = stored(_sorted_strings(_edges(with_edges)), "edges")
-    both = gathered(marks).join(gathered(edges).withColumnRenamed("marks", "starts").hint("merge"), "doc_id", "full_outer")
-    joined = docs.join(both.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks", "starts")
+    spans = stored(_spans(_edges(known.join(gathered(marks).hint("merge"), ["doc_id", "version"]))), "spans")
+    dropped(marks)
+    joined = docs.join(gathered(spans).hint("merge"), ["doc_id", "version"], "left")
 
     def cut(batches):
-        for ids, texts, more in _blocks(batches):
-            doc, start, count, _, _ = runs(texts)
-            first = np.searchsorted(doc, np.arange(len(texts)))
+        for ids, _, texts, marks in _blocks(batches):
             cols = defaultdict(list)
-            for d, (text, (whole, starts)) in enumerate(zip(texts, more)):
-                m = _marks(whole)
-                i = first[d] + m[m % 4 == WHOLE] // 4
-                s = np.concatenate([start[i], _marks(starts)])
-                e = np.concatenate([start[i] + count[i] + N - 1, _marks(starts) + N])
-                order = np.argsort(s, kind="stable")
-                s, e = s[order], np.maximum.accumulate(e[order]) if len(e) else e
-                head = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]])) if len(s) else np.zeros(0, int)
-                s, e = s[head], e[np.concatenate([head[1:], [len(e)]]) - 1] if len(head) else e
-                keep = b"".join(text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
-                for name, v in (("doc_id", ids[d]), ("n_bytes", len(text)), ("n_removed", len(text) - len(keep)), ("n_spans", len(s)), ("kept_sha256", hashlib.sha256(keep).hexdigest()), ("spans", [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())])):
+            for doc_id, text, lists in zip(ids, texts, marks):
+                text = text or b""
+                s, e = (x.tolist() for x in _merged(*_joined(lists).reshape(-1, 2).T))
+                keep = b"".join(text[a:b] for a, b in zip([0, *e], [*s, len(text)]))
+                for name, v in (("doc_id", doc_id), ("n_bytes", len(text)), ("n_removed", len(text) - len(keep)), ("n_spans", len(s)), ("kept_sha256", hashlib.sha256(keep).hexdigest()), ("spans", [{"start": a, "end": b} for a, b in zip(s, e)])):
                     cols[name].append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types)], names=list(cols))

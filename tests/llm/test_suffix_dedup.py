@@ -58,6 +58,28 @@ def test_odd_tables(spark):
     assert len(got) == 3 and all(r["n_removed"] == 0 for r in got)
 
 
+def test_two_texts_of_one_document_are_kept_apart(spark):
+    """Rows of one doc_id lose what earlier documents have, each its own bytes, and don't remove one another."""
+    a, b, c = (k * 3 for k in ("abcdefghijklmnopqrstuvwxyz", "0123456789-ABCDEFGHIJKLMN", "zyxwvutsrqponmlkji.,;:!?%"))
+    rows = [(1, a + b), (2, "once upon a time " + a + "!"), (2, "another text " + b + " of the same document " + c), (2, c), (3, c)]
+    got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], [tuple(s) for s in r["spans"]]) for r in repeated_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {
+        (1, len(a + b)): (0, []),
+        (2, 17 + len(a) + 1): (len(a), [(17, 17 + len(a))]),
+        (2, 13 + len(b) + 22 + len(c)): (len(b), [(13, 13 + len(b))]),
+        (2, len(c)): (0, []),
+        (3, len(c)): (len(c), [(0, len(c))]),
+    }
+
+
+def test_long_text_and_columns_with_names_of_our_own(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long, "x", 1), (2, long[1000:2000], "y", 2), (3, long, "z", 3)]
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_spans(spark.createDataFrame(rows, DOCS + ", version string, marks int")).collect()}
+    assert got == {1: 0, 2: 1000, 3: 300_000}
+
+
 def test_suffix_order_is_the_order_of_bytes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
