@@ -5,10 +5,10 @@ floor(1 - log_B(minimum)), so the registers of a union are the maxima of registe
 mostly equal. Bands of registers give candidates, a joint likelihood of two register vectors and the known set sizes
 drops those that are far from similar, and the full sets of the rest are compared.
 
-No pair of one set's copies is ever made: equal sets become one class first. Small buckets give all their pairs,
-large ones pairs with their smallest member and with one chosen by a hash of the bucket, so similar buckets have
-different centres. In a large bucket that still spans several components, those outside its commonest one meet all
-other members, block by block: no link between different sets is lost to a bucket's size.
+No pair of one set's copies is ever made: equal sets become one class first. Small buckets give all their pairs, large
+ones pairs with two centres, their members with the smallest doc_id and with the smallest hash of it, so that similar
+buckets have the same centres. In a large bucket that still spans several components, those outside its commonest one
+meet all other members, block by block: no link between different sets is lost to a bucket's size.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ BANDS = REGISTERS // ROWS
 SCALE, BASE, TOP = 20.0, 1.001, 65535
 #: Pairs below this estimate, over six deviations under the threshold, are not compared in full.
 LEAST_ESTIMATE = 0.6
-SMALL_BUCKET, BLOCK = 16, 128
+#: A bucket of up to so many members gives all its pairs; larger ones go through centres and blocks, to the same links.
+SMALL_BUCKET = 16
+BLOCK, WIDE = 128, 8
 #: A block holds about so many shingles at most, as long as one text has fewer.
 BLOCK_SHINGLES = 1_000_000
 
@@ -177,25 +179,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _open(keys: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Large buckets that span components: their members (key, doc_id, comp), and for each key its commonest component."""
+def _meetings(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """merged, meet, doc_id, comp, main: who has to meet in large buckets that span components, each once a meeting.
+
+    main is a bucket's commonest component. Buckets with one main that each hold a part of 1 / WIDE or more of all
+    documents in such buckets are merged into one meeting, named by main: at most WIDE times the comparisons of the
+    single buckets, and a document travels once instead of once a bucket. Other buckets meet by themselves.
+    """
     placed = keys.join(comp.hint("merge"), keys["doc_id"] == comp["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    return placed, main
+    main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    opened = stored(placed.join(main.hint("merge"), "key"), "open")
+    held = opened.select("main", "doc_id").distinct().groupBy("main").agg(F.count("*").alias("all"))
+    sized = opened.join(held.hint("merge"), "main").withColumn("merged", F.col("m") * WIDE >= F.col("all"))
+    return sized.select("merged", F.when(F.col("merged"), F.col("main")).otherwise(F.col("key")).alias("meet"), "doc_id", "comp", "main").distinct()
 
 
-def _candidates(key: int, pdf: pd.DataFrame):
-    """Of one meeting of blocks: each probe's row with the rows that the estimate cannot rule out. A pair is
-    met in the bucket of the first band that it shares, and only there: an earlier bucket with both was either small,
-    with all its pairs compared, or is open too."""
+def _candidates(merged: bool, meet: int, pdf: pd.DataFrame):
+    """Of one meeting of blocks: each probe's row with the rows that the estimate cannot rule out. Only documents that
+    share a band are compared. In a bucket that meets by itself, that is the first band that they share: an earlier
+    bucket with both was either small, with all its pairs compared, or is open too."""
     regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, BANDS, ROWS)
-    band = band_keys(regs[0].reshape(-1)).index(key)
+    band = None if merged else band_keys(regs[0].reshape(-1)).index(meet)
     comps, n, is_probe = pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(float), pdf["probe"].to_numpy()
     bases = np.flatnonzero(~is_probe)
     for i in np.flatnonzero(is_probe):
         j = bases[(comps[bases] != comps[i]) & (100 * np.minimum(n[bases], n[i]) >= 80 * np.maximum(n[bases], n[i]))]
-        j = j[~(regs[j, :band] == regs[i, :band]).all(2).any(1)]
+        shared = (regs[j, :band] == regs[i, :band]).all(2).any(1)
+        j = j[shared if merged else ~shared]
         if len(j):
             j = j[likely_similar(regs[i].reshape(1, -1), regs[j].reshape(-1, REGISTERS), np.full(len(j), n[i]), n[j])]
         if len(j):
@@ -206,27 +217,27 @@ def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, wi
     """Links in large buckets that span components: each member outside the commonest component against every member
     of the other components. Blocks of the ones meet blocks of the others, never a bucket in one task. Sketches
     tell which members a meeting needs; their texts travel there once, and only links come out."""
-    placed, main = _open(keys, comp)
     sized = reps.select("doc_id", "sketch", "n_shingles")
-    members = placed.join(main.hint("merge"), "key").join(sized.hint("merge"), "doc_id")
+    meetings = stored(_meetings(keys, comp), "meetings")
+    members = meetings.join(sized.hint("merge"), "doc_id")
     blocks = lambda few: F.greatest(F.ceil(F.count(F.when(few, 1)) / BLOCK), F.ceil(F.sum(F.when(few, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
-    shape = members.groupBy("key").agg(blocks(F.col("comp") != F.col("main")).alias("xs"), blocks(F.lit(True)).alias("ys"))
-    dealt = members.join(shape.hint("merge"), "key").withColumn("h", F.xxhash64("doc_id"))
+    shape = members.groupBy("merged", "meet").agg(blocks(F.col("comp") != F.col("main")).alias("xs"), blocks(F.lit(True)).alias("ys"))
+    dealt = members.join(shape.hint("merge"), ["merged", "meet"]).withColumn("h", F.xxhash64("doc_id"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["doc_id", "comp", "sketch", "n_shingles"]
-    base = dealt.select("key", F.pmod("h", "ys").cast("int").alias("y"), spread("xs").alias("x"), F.lit(False).alias("probe"), *cols)
-    probe = dealt.where("comp <> main").select("key", spread("ys").alias("y"), F.pmod("h", "xs").cast("int").alias("x"), F.lit(True).alias("probe"), *cols)
+    at, cols = ["merged", "meet", "x", "y"], ["doc_id", "comp", "sketch", "n_shingles"]
+    base = dealt.select("merged", "meet", spread("xs").alias("x"), F.pmod("h", "ys").cast("int").alias("y"), F.lit(False).alias("probe"), *cols)
+    probe = dealt.where("comp <> main").select("merged", "meet", F.pmod("h", "xs").cast("int").alias("x"), spread("ys").alias("y"), F.lit(True).alias("probe"), *cols)
 
     def needed(key, pdf):
         rows = set()
-        for i, j in _candidates(key[0], pdf):
+        for i, j in _candidates(key[0], key[1], pdf):
             rows.add(i)
             rows.update(j)
-        return pdf.iloc[sorted(rows)][["key", "x", "y", "probe", "doc_id", "comp"]]
+        return pdf.iloc[sorted(rows)][[*at, "probe", "doc_id", "comp"]]
 
     def linked(key, pdf):
         ids, texts, sets, out = pdf["doc_id"].tolist(), pdf["text"].tolist(), {}, []
-        for i, js in _candidates(key[0], pdf):
+        for i, js in _candidates(key[0], key[1], pdf):
             for j in js:
                 for k in (i, j):
                     if ids[k] not in sets:
@@ -237,10 +248,10 @@ def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, wi
                     out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    wanted = stored(base.unionByName(probe).groupBy("key", "x", "y").applyInPandas(needed, "key long, x int, y int, probe boolean, doc_id long, comp long"), "wanted")
+    wanted = stored(base.unionByName(probe).groupBy(*at).applyInPandas(needed, "merged boolean, meet long, x int, y int, probe boolean, doc_id long, comp long"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = wanted.join(sized.hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id")
-    return full.groupBy("key", "x", "y").applyInPandas(linked, "a long, b long")
+    return full.groupBy(*at).applyInPandas(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -256,7 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = met.where("fp is not null and doc_id is not null")
     reps = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id"))["doc_id"].alias("pivot")).where("n > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"].alias("pivot")).where("n > 1")
     inside = stored(keys.join(sizes.hint("merge"), "key"), "buckets")
     centres = inside.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode(F.array("least", "pivot")).alias("c")).where("doc_id <> c")
     stars = centres.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
