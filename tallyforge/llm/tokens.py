@@ -49,7 +49,9 @@ class WordEncoder:
         cache = self.cache
         stems, alone, joined = set(), [], []
         for w in new:
-            if w.isalpha():
+            if _NOT_LATIN.search(w):  # what case folding makes of other letters may join with their neighbours
+                alone.append(w)
+            elif w.isalpha():
                 stems.add(w)
             elif self.by_word and len(w) > 1 and w[-1] in _TAIL and w[:-1].isalpha():
                 joined.append(w)
