@@ -22,20 +22,27 @@ from .common import bounded_sample, crc32_text
 #: At most so many documents, and of each at most so many words in chunks spread over the whole text, fit the field.
 TRAIN_DOCS, TRAIN_WORDS, CHUNK = 2000, 240, 12
 BUCKETS, CHAIN, ROUNDS, RATE, RIDGE = 1 << 15, 60, 25, 0.1, 1e-7
-MAX_WORDS = 400_000
+MAX_WORDS, LONG = 400_000, 40
 BLOCK_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case; what counts as a word character without being a letter (½, ①) parts them, and a run of
+    more than LONG letters is cut into pieces of LONG, neighbours in the chain."""
+    found = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
+    if found and len(max(found, key=len)) > LONG:
+        found = [w[at : at + LONG] for w in found for at in range(0, len(w), LONG)]
+    return found
 
 
 def buckets(word: str) -> list[int]:
     """Hashed features of a word: itself, prefixes and suffixes up to 3, n-grams of 2 and 3 with edges."""
     b = word.encode("utf-8", "surrogatepass")
-    edged = f"^{word[:40]}$".encode("utf-8", "surrogatepass")
+    edged = f"^{word}$".encode("utf-8", "surrogatepass")
     crc = zlib.crc32
     out = [crc(b"w" + b)]
     out += [crc(b"p" + edged[1 : 1 + k]) for k in (2, 3, 4)]
@@ -59,8 +66,7 @@ class LanguageField:
         vocabulary: dict[str, int] = {}
         chunks = []
         for ws, lang in zip(texts, langs):
-            step = max(CHUNK, len(ws) * CHUNK // TRAIN_WORDS)
-            for at in range(0, len(ws), step):
+            for at in range(0, len(ws), CHUNK):
                 part = ws[at : at + CHUNK]
                 chunks.append((code[lang], [vocabulary.setdefault(w, len(vocabulary)) for w in part]))
         rng = np.random.default_rng(11)
@@ -180,8 +186,9 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(crc32_text(col) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> LanguageField:
-    """Fit on at most `rows` documents with a language whose crc32(doc_id) mod 3 is not 1."""
+def train(docs: DataFrame, rows: int = TRAIN_DOCS, words_each: int = TRAIN_WORDS) -> LanguageField:
+    """Fit on at most `rows` documents with a language whose crc32(doc_id) mod 3 is not 1, and on about `words_each`
+    words of each, in chunks from its beginning to its end."""
     known = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang")
     sample = bounded_sample(known, "doc_id", rows).select("doc_id")
 
@@ -190,7 +197,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> LanguageField:
             out = []
             for t in batch.column(2).to_pylist():
                 ws = words(t)
-                step = max(CHUNK, len(ws) * CHUNK // TRAIN_WORDS)
+                step = max(CHUNK, len(ws) * CHUNK // words_each)
                 out.append([w for at in range(0, len(ws), step) for w in ws[at : at + CHUNK]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "lang", "ws"])
 
@@ -202,8 +209,9 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> LanguageField:
 def identify(docs: DataFrame, field: LanguageField) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs.
 
-    A null text or one without a letter is `und` with score 0; a null doc_id is not held out; repeated rows get the
-    same answer; an empty table gives no rows; other columns are not read.
+    A null text or one without a letter is `und` with score 0; a text of any length is labelled whole, as one chain;
+    of languages with equal shares the first by name is taken; a null doc_id is not held out; repeated rows
+    get the same answer; an empty table gives no rows; other columns are not read.
     """
 
     def labelled(batches):
