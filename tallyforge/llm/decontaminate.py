@@ -14,6 +14,7 @@ space as a blank; positions count the bytes of the text as it was.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
 from functools import cache
 
@@ -28,8 +29,13 @@ Q, WINDOW, STEP, EDITS = 12, 100, 50, 6
 PASSAGE, SHORT_STEP = 50, 10
 SHORT = PASSAGE - SHORT_STEP + 1
 TABLE_BITS = 22
-#: Benchmark bytes that go to the executors at once; more of them take further passes over the documents.
-BLOCK_BYTES = 8_000_000
+#: Benchmark bytes that go to the executors at once; more of them take further passes over the documents. Each Python
+#: worker builds its index of them, of about 60 bytes for each.
+BLOCK_BYTES = 2_000_000
+#: Bytes of text that are searched at once (longer texts in pieces that overlap by more than a window and its edits), and
+#: hits that are counted at once.
+PIECE, HITS = 2_000_000, 2_000_000
+OVERLAP = 2 * WINDOW
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -135,16 +141,16 @@ class Windows:
         at, k = at[hit], k[hit]
         if not len(at):
             return []
-        times = self.count[k]
-        pos = np.repeat(at, times)
-        slot = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        window, diagonal = self.owner[slot].astype(np.int64), pos - self.offset[slot] + WINDOW
-        half = EDITS + 1
-        band = np.concatenate([diagonal // (2 * half) * 2, (diagonal + half) // (2 * half) * 2 + 1])
-        window = np.concatenate([window, window])
-        key = window * (2 * (len(buf) + 2 * WINDOW)) + band
-        key, count = np.unique(key, return_counts=True)
-        window, band = key // (2 * (len(buf) + 2 * WINDOW)), key % (2 * (len(buf) + 2 * WINDOW))
+        half, wide = EDITS + 1, 2 * (len(buf) + 2 * WINDOW)
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        times = np.cumsum(self.count[k])
+        cuts = np.searchsorted(times, np.arange(HITS, times[-1], HITS)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):  # text of one character hits all grams of such items
+            if a < b:
+                part, n = self._bands(at[a:b], k[a:b], half, wide)
+                key, which = np.unique(np.concatenate([key, part]), return_inverse=True)
+                count = np.bincount(which, np.concatenate([count, n]), len(key)).astype(np.int64)
+        window, band = key // wide, key % wide
         enough = count >= self.need[window]
         window, band = window[enough], band[enough]
         if not len(window):
@@ -159,6 +165,14 @@ class Windows:
                 found.append((d, self.item[w[i]], int(cost[i]), max(0, int(end[i] - self.length[w[i]] - bounds[d])), int(end[i] - bounds[d]), int(w[i])))
         return found
 
+    def _bands(self, at: np.ndarray, k: np.ndarray, half: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and diagonal bands (as window * wide + band) that the q-grams at some places hit, and how often."""
+        times = self.count[k]
+        pos = np.repeat(at, times)
+        slot = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        window, diagonal = self.owner[slot].astype(np.int64) * wide, pos - self.offset[slot] + WINDOW
+        return np.unique(np.concatenate([window + diagonal // (2 * half) * 2, window + (diagonal + half) // (2 * half) * 2 + 1]), return_counts=True)
+
     def _align(self, buf: np.ndarray, window: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits between each window and a stretch of buf whose diagonals lie in a band from start on, for
         all candidates at once; a step goes one byte down the windows. Also the end of the best stretch."""
@@ -181,27 +195,40 @@ class Windows:
         return cost_end, end
 
 
-def _blocks(benchmark: DataFrame):
-    """Windows of the benchmark in blocks of bounded size, one after the other."""
+def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of bounded size, one after the other."""
     known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     for k in range(n):
         part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Windows(sorted((r["item_id"], r["text"]) for r in part.collect()))
+        yield sorted((r["item_id"], r["text"]) for r in part.collect())
 
 
-def _texts(column, most: int = 2_000_000):
-    """(first row, folded texts) in blocks of about `most` bytes."""
-    block, size, first = [], 0, 0
-    for i in range(len(column)):
-        b = fold(column[i].as_py() or "")
-        block.append(b)
-        size += len(b)
-        if size > most:
-            yield first, block
-            block, size, first = [], 0, i + 1
-    yield first, block
+_BUILT: dict[str, Windows] = {}
+
+
+def _windows(name: str, items: list[tuple[int, str]]) -> Windows:
+    """The windows of a block, built once in each worker, which keeps one block."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Windows(items)
+    return _BUILT[name]
+
+
+def _texts(column):
+    """(rows, places of their first bytes in the row's text, folded texts or pieces of them), about PIECE bytes at once."""
+    rows, places, block, size = [], [], [], 0
+    for i, text in enumerate(column):
+        b = fold(text.as_py() or "")
+        for at in range(0, max(1, len(b) - OVERLAP), PIECE):
+            part = b if len(b) <= PIECE else b[at : at + PIECE + OVERLAP]
+            rows.append(i), places.append(at), block.append(part)
+            size += len(part)
+            if size > PIECE:
+                yield rows, places, block
+                rows, places, block, size = [], [], [], 0
+    yield rows, places, block
 
 
 LEAKS = "doc_id long, item_id long, n_windows long, edits long, start long, end long"
@@ -211,21 +238,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs and benchmark item that leaks into it: how many of the item's windows match, the
     least edits of one, and the UTF-8 bytes of the text from the first to the last match.
 
-    Null or empty texts on either side match nothing, nor do items under Q bytes; repeated documents give repeated
-    rows; empty tables give no rows; other columns are not read.
+    Null or empty texts on either side match nothing, nor do items under Q bytes; very long texts are searched in
+    overlapping pieces; of equal items each is reported; repeated documents give repeated rows; empty tables give no
+    rows; other columns are not read.
     """
     out = None
-    for windows in _blocks(benchmark):
+    for items in _blocks(benchmark):
 
-        def search(batches, windows=windows):
+        def search(batches, items=items, name=uuid.uuid4().hex):
+            windows = _windows(name, items)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows = {}
-                for first, block in _texts(batch.column(1)):
+                for doc, place, block in _texts(batch.column(1)):
                     for d, item, edits, start, end, window in windows.find(block):
-                        n, e, s, t = rows.get((first + d, item), (set(), edits, start, end))
+                        start, end = start + place[d], end + place[d]
+                        n, e, s, t = rows.get((doc[d], item), (set(), edits, start, end))
                         n.add(window)
-                        rows[first + d, item] = (n, min(e, edits), min(s, start), max(t, end))
+                        rows[doc[d], item] = (n, min(e, edits), min(s, start), max(t, end))
                 places = {d: Places(batch.column(1)[d].as_py()) for d in {d for d, _ in rows}}
                 got = [(ids[d], item, len(n), e, *places[d].span(s, t)) for (d, item), (n, e, s, t) in sorted(rows.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * 6)], names=["doc_id", "item_id", "n_windows", "edits", "start", "end"])
@@ -236,15 +266,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that no benchmark item leaks into, with all their columns."""
-    for windows in _blocks(benchmark):
+    """The rows of docs that no benchmark item leaks into, with all their columns, whatever their names.
+
+    Null and empty texts stay; very long texts are searched in overlapping pieces; repeated rows stay or go together;
+    without a benchmark all rows stay; an empty table stays empty.
+    """
+    for items in _blocks(benchmark):
 
-        def clean(batches, windows=windows):
+        def clean(batches, items=items, name=uuid.uuid4().hex):
+            windows = _windows(name, items)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for first, block in _texts(batch.column(batch.schema.get_field_index("text"))):
+                for doc, _, block in _texts(batch.column(batch.schema.get_field_index("text"))):
                     for found in windows.find(block):
-                        keep[first + found[0]] = False
+                        keep[doc[found[0]]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
