@@ -74,7 +74,8 @@ def op1_suffix_dedup(spark, sf_dir):
 def op8_tool_calls(spark, sf_dir):
     from .tool_calls import SCHEMAS, derived_calls, link
 
-    return link(*derived_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
+    calls, results, messages = derived_calls(table(spark, sf_dir, "conversations"))
+    return link(calls, results, SCHEMAS, messages)
 
 
 def queries():
