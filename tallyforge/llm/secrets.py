@@ -27,7 +27,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: The labelled sample comes from at most so many documents.
 SAMPLE_DOCS = 4000
 #: A token is a secret if the ratio reaches so many nats for each pair of neighbouring characters.
-RATIO = 2.0
+RATIO = 2.4
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -129,12 +129,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
             seen[0][ALPHABET.index(x) * size + ALPHABET.index(y)] += max(1, rows[ALPHABET.index(x)] // 10)
     for a in range(size):
         seen[0][a * size + a] += max(1, rows[a] // 10)
+    every = sum(seen[0]) + 0.05 * size
+    single = [(sum(seen[0][b::size]) + 0.05) / every for b in range(size)]  # stands in where a character has few successors
     out = []
     for a in range(size):
         plain, random = sum(seen[0][a * size : a * size + size]), sum(seen[1][a * size : a * size + size])
         for b in range(size):
             p = (seen[1][a * size + b] + 1 / size) / (random + 1)
-            q = (seen[0][a * size + b] + 0.05) / (plain + 0.05 * size)
+            q = (seen[0][a * size + b] + single[b]) / (plain + 1)
             out.append(round(math.log(0.5 * p + 0.5 / size) - math.log(q), 6))
     return out
 
