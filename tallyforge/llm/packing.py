@@ -81,9 +81,10 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group_docs:
     """
     groups = max(1, -(-docs.count() // group_docs))
     pieces = token_pieces(docs, tokenizer, sequence)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(7)), F.lit(groups)))
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # else equal texts without an id would be one group
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", apart, F.lit(7)), F.lit(groups)))
 
-    def ffd(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def ffd(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), sequence)
         return pdf.drop(columns="grp").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)

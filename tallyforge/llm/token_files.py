@@ -38,7 +38,7 @@ def _fs(uri: str):
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = END_ID) -> list[dict]:
     """Encode every text (null: empty) and write it in ascending doc_id order; returns the manifest with bases.
 
-    Repeated doc_ids are written one after the other; an empty table gives an empty manifest; columns other than
+    A text of any length is encoded whole; repeated doc_ids are written one after the other; an empty table gives an empty manifest; columns other than
     doc_id and text are ignored. The manifest has one row for each partition, not for each document.
     """
 
@@ -87,12 +87,15 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     return parts
 
 
-def _open(fs, path: str, kind: str):
-    """The array of a whole file: memory-mapped on a local or mounted file system, else read."""
+def _slices(fs, path: str, kind: str):
+    """A function that gives items lo to hi of a file: memory-mapped on a local or mounted file system, else read from
+    the store, only these."""
+    kind = np.dtype(kind)
     if fs.type_name == "local":
-        return np.memmap(path, kind, "r") if fs.get_file_info(path).size else np.zeros(0, kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+        whole = np.memmap(path, kind, "r") if fs.get_file_info(path).size else np.zeros(0, kind)
+        return lambda lo, hi: whole[lo:hi]
+    f = fs.open_input_file(path)
+    return lambda lo, hi: np.frombuffer(f.read_at(int(hi - lo) * kind.itemsize, int(lo) * kind.itemsize), kind)
 
 
 def read_token_files(spark: SparkSession, out_dir: str, parts: list[dict]) -> DataFrame:
@@ -102,12 +105,14 @@ def read_token_files(spark: SparkSession, out_dir: str, parts: list[dict]) -> Da
         fs, root = _fs(out_dir)
         for batch in batches:
             for r in batch.to_pylist():
-                bin_, off, doc = (_open(fs, f"{root}/{r['name']}.{ext}", kind) for ext, kind in (("bin", r["dtype"]), ("off", "<i8"), ("doc", "<i8")))
-                for lo in range(0, r["n_docs"], 8192):
-                    hi = min(lo + 8192, r["n_docs"])
-                    crcs = [zlib.crc32(bin_[off[i] : off[i + 1]].astype("<u4").tobytes()) for i in range(lo, hi)]
-                    ids = [None] * max(0, min(hi, r["n_null"]) - lo) + doc[max(lo, r["n_null"]) : hi].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(off[lo:hi] + r["base"], pa.int64()), pa.array(np.diff(off[lo : hi + 1]), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                tokens, offsets, docs = (_slices(fs, f"{root}/{r['name']}.{ext}", kind) for ext, kind in (("bin", r["dtype"]), ("off", "<i8"), ("doc", "<i8")))
+                for lo in range(0, r["n_docs"], 1024):
+                    hi = min(lo + 1024, r["n_docs"])
+                    off = offsets(lo, hi + 1)
+                    crcs = [zlib.crc32(tokens(a, b).astype("<u4").tobytes()) for a, b in zip(off, off[1:])]
+                    nulls = max(0, min(hi, r["n_null"]) - lo)
+                    ids = [None] * nulls + docs(lo + nulls, hi).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(off[:-1] + r["base"], pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = [(r["name"], r["dtype"], r["n_null"], r["n_docs"], r["base"]) for r in parts]
     files = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "name string, dtype string, n_null long, n_docs long, base long")
