@@ -36,7 +36,8 @@ _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 #: key: 32 bits of the key, enough within a bucket (keys that agree in them only cost sorting).
 RUN = np.dtype([("key", "<u4"), ("check", "<u4"), ("hash", "<u8"), ("doc", "<u4"), ("run", "<u4")])
-MARKS = "doc_id long, version long, marks binary"
+MARKS = "doc_id long, version long, mark long"
+SPANS = "doc_id long, version long, start long, end long"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -198,14 +199,8 @@ def _hashed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(hashed, "bucket long, ids binary, runs binary")
 
 
-def _per_doc(doc: np.ndarray, version: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """One row for each document: its values, interleaved, in order of the first."""
-    order = np.lexsort((values[0], version, doc))
-    doc, version, value = doc[order], version[order], np.stack(values, 1)[order].astype("<i8")
-    new = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
-    cuts = np.flatnonzero(np.concatenate([[True], new])) if len(doc) else np.zeros(0, int)
-    pieces = [value[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(doc)])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array(version[cuts], pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "version", "marks"])
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
 def _settle(parts: list[tuple[bytes, bytes]], many: int) -> pa.RecordBatch:
@@ -222,7 +217,7 @@ def _settle(parts: list[tuple[bytes, bytes]], many: int) -> pa.RecordBatch:
     variants = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
     kind = np.where(doc > least, WHOLE, np.where(variants > many, MANY, np.where(variants > 1, EDGE, 0)))
     take = kind > 0
-    return _per_doc(doc[take], version[take], run[take] * 4 + kind[take])
+    return _batch(MARKS, doc[take], version[take], run[take] * 4 + kind[take])
 
 
 def _marked(hashed: DataFrame, many: int) -> DataFrame:
@@ -251,10 +246,6 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[head], end[np.concatenate([head[1:], [len(end)]]) - 1]
 
 
-def _joined(lists) -> np.ndarray:
-    return np.frombuffer(b"".join(lists or []), "<i8")
-
-
 def _edges(joined: DataFrame) -> DataFrame:
     """What marks ask for: the bytes of edges (whole runs by their key, or single strings by their hash where a key has
     many runs), and the settled stretches, which need no sort and have no bytes."""
@@ -264,25 +255,34 @@ def _edges(joined: DataFrame) -> DataFrame:
             doc, start, count, key, _, _ = runs(texts, hashed=False)
             first = np.searchsorted(doc, np.arange(len(texts)))
             out, single = [], []
+
+            def settled(d, starts, ends):
+                for a, b in zip(*(x.tolist() for x in _merged(starts, ends))):
+                    out.append((ids[d] ^ a << 20, ids[d], versions[d], a, b, None))
+
             for d, (text, lists) in enumerate(zip(texts, marks)):
-                m = _joined(lists)
+                m = np.array(lists, np.int64)
                 whole = first[d] + m[m % 4 == WHOLE] // 4
-                for a, b in zip(*(x.tolist() for x in _merged(start[whole], start[whole] + count[whole] + N - 1))):
-                    out.append((ids[d], ids[d], versions[d], a, b, None))
+                settled(d, start[whole], start[whole] + count[whole] + N - 1)
                 for k in (EDGE, MANY):
                     i = first[d] + m[m % 4 == k] // 4
                     for place, s, c in zip(key[i].view("<i8").tolist(), start[i].tolist(), count[i].tolist()):
                         if k == EDGE:
                             out.append((place, ids[d], versions[d], s, s + c + N - 1, text[s : s + c + N - 1]))
                         else:
-                            single += ((text[p : p + N], ids[d], versions[d], p) for p in range(s, s + c))
+                            single += ((text[p : p + N], d, p) for p in range(s, s + c))
             least: dict[bytes, int] = {}
-            for part, doc_id, _, _ in single:
-                least[part] = min(doc_id, least.get(part, doc_id))
-            for part, doc_id, version, p in single:  # only the first document of the block has to ask the others
-                known = least[part] < doc_id
-                place = doc_id if known else int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                out.append((place, doc_id, version, p, p + N, None if known else part))
+            for part, d, _ in single:
+                least[part] = min(ids[d], least.get(part, ids[d]))
+            known = defaultdict(list)
+            for part, d, p in single:  # only the first document of the block has to ask the others
+                if least[part] < ids[d]:
+                    known[d].append(p)
+                else:
+                    place = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+                    out.append((place, ids[d], versions[d], p, p + N, part))
+            for d, places in known.items():
+                settled(d, np.array(places), np.array(places) + N)
             cols = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))], names=["place", "doc_id", "version", "start", "end", "part"])
 
@@ -308,14 +308,14 @@ def _spans(edges: DataFrame) -> DataFrame:
         order = np.lexsort((begin, version, doc))  # neighbouring strings are one stretch
         doc, version, begin = doc[order], version[order], begin[order]
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (begin[1:] > begin[:-1] + 1)])) if len(doc) else np.zeros(0, int)
-        return _per_doc(doc[new], version[new], begin[new], begin[np.concatenate([new[1:], [len(doc)]]) - 1] + N if len(doc) else begin)
+        return _batch(SPANS, doc[new], version[new], begin[new], begin[np.concatenate([new[1:], [len(doc)]]) - 1] + N if len(doc) else begin)
 
     def sort(batches):
         held, size, at = ([], [], [], []), 0, None
         for batch in batches:
             known = batch.filter(pc.is_null(batch.column(5)))
             if known.num_rows:
-                yield _per_doc(*(known.column(c).to_numpy() for c in (1, 2, 3, 4)))
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in (1, 2, 3, 4)], names=["doc_id", "version", "start", "end"])
             batch = batch.filter(pc.is_valid(batch.column(5)))
             for place, doc, version, start, part in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5))):
                 if place != at and size > SORT_STRINGS:
@@ -328,7 +328,7 @@ def _spans(edges: DataFrame) -> DataFrame:
         if size:
             yield settle(*held)
 
-    return edges.repartition("place").sortWithinPartitions("place").mapInArrow(sort, MARKS)
+    return edges.repartition("place").sortWithinPartitions("place").mapInArrow(sort, SPANS)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -348,18 +348,18 @@ def repeated_spans(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gathered = lambda df: df.groupBy("doc_id", "version").agg(F.collect_list("marks").alias("marks"))
+    gathered = lambda df, *cols: df.groupBy("doc_id", "version").agg(*(F.collect_list(c).alias(c) for c in cols))
     marks = stored(_marked(_hashed(known, max(1, total // BUCKET_BYTES)), many_runs), "marks")
-    spans = stored(_spans(_edges(known.join(gathered(marks).hint("merge"), ["doc_id", "version"]))), "spans")
+    spans = stored(_spans(_edges(known.join(gathered(marks, "mark").hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "mark"))), "spans")
     dropped(marks)
-    joined = docs.join(gathered(spans).hint("merge"), ["doc_id", "version"], "left")
+    joined = docs.join(gathered(spans, "start", "end").hint("merge"), ["doc_id", "version"], "left").select("doc_id", "version", "text", "start", "end")
 
     def cut(batches):
-        for ids, _, texts, marks in _blocks(batches):
+        for ids, _, texts, starts, ends in _blocks(batches):
             cols = defaultdict(list)
-            for doc_id, text, lists in zip(ids, texts, marks):
+            for doc_id, text, s, e in zip(ids, texts, starts, ends):
                 text = text or b""
-                s, e = (x.tolist() for x in _merged(*_joined(lists).reshape(-1, 2).T))
+                s, e = (x.tolist() for x in _merged(np.array(s or [], np.int64), np.array(e or [], np.int64)))
                 keep = b"".join(text[a:b] for a, b in zip([0, *e], [*s, len(text)]))
                 for name, v in (("doc_id", doc_id), ("n_bytes", len(text)), ("n_removed", len(text) - len(keep)), ("n_spans", len(s)), ("kept_sha256", hashlib.sha256(keep).hexdigest()), ("spans", [{"start": a, "end": b} for a, b in zip(s, e)])):
                     cols[name].append(v)
