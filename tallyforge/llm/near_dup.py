@@ -191,8 +191,8 @@ def _meetings(keys: DataFrame, comp: DataFrame) -> DataFrame:
     main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     opened = stored(placed.join(main.hint("merge"), "key"), "open")
     held = opened.select("main", "doc_id").distinct().groupBy("main").agg(F.count("*").alias("all"))
-    sized = opened.join(held.hint("merge"), "main").withColumn("merged", F.col("m") * WIDE >= F.col("all"))
-    return sized.select("merged", F.when(F.col("merged"), F.col("main")).otherwise(F.col("key")).alias("meet"), "doc_id", "comp", "main").distinct()
+    kinds = opened.groupBy("key").agg(F.first("main").alias("main"), F.first("m").alias("m")).join(held.hint("merge"), "main").select("key", (F.col("m") * WIDE >= F.col("all")).alias("merged"))
+    return opened.join(kinds.hint("merge"), "key").select("merged", F.when(F.col("merged"), F.col("main")).otherwise(F.col("key")).alias("meet"), "doc_id", "comp", "main").distinct()
 
 
 def _candidates(merged: bool, meet: int, pdf: pd.DataFrame):
