@@ -23,7 +23,7 @@ from .common import dropped, stored
 
 N, K = 50, 16
 #: Text bytes for each bucket of run hashes, and for one block of documents within a task.
-BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 4_000_000
+BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 2_000_000
 #: A key with more different runs than this is a hot one: its strings are dealt to places by their own hashes instead of
 #: by the key, so that no place holds them all. Either way gives the same result.
 MANY_RUNS = 256
@@ -72,19 +72,29 @@ def runs(docs: list[bytes], hashed: bool = True) -> tuple[np.ndarray, ...]:
     grams = _mix((total[K:] - total[:-K]) * inverse[: len(buf) - K + 1])
     low, width = grams, 1
     span = N - K + 1
+    if not hashed:
+        del total, inverse
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    at = np.arange(len(low))
-    doc = np.searchsorted(ends, at, side="right")
-    good = at + N <= ends[doc]
-    at, doc, low = at[good], doc[good], low[good]
-    if not len(at):
+    counts = np.maximum(sizes - N + 1, 0)  # strings of each document; the others cross its end
+    head = np.zeros(len(low) + 1, bool)
+    head[1:-1] = low[1:] != low[:-1]
+    begins = ends - sizes
+    head[begins[counts > 0]] = True
+    head[(begins + counts)[counts > 0]] = True
+    bounds = np.flatnonzero(head)
+    if not len(bounds):
+        return none, none, none, no_hash, no_hash, no_hash
+    bounds = bounds if bounds[-1] == len(low) else np.append(bounds, len(low))
+    start, count = bounds[:-1], np.diff(bounds)
+    doc = np.searchsorted(ends, start, side="right")
+    good = start + N <= ends[doc]
+    start, count, doc = start[good], count[good], doc[good]
+    key = low[start]
+    if not len(start):
         return none, none, none, no_hash, no_hash, no_hash
-    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
-    count = np.diff(np.concatenate([first, [len(at)]]))
-    start, doc, key = at[first], doc[first], low[first]
     local = start - (ends - sizes)[doc]
     if not hashed:
         return doc, local, count, key, no_hash, no_hash
