@@ -38,7 +38,7 @@ _RNG = np.random.default_rng(92)
 _XOR = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)[:, None]
 _MUL = (_RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1))[:, None]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 _WORDS: dict[bytes, int] = {}
 
 
@@ -133,6 +133,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     else:
                         fp.append(None), sk.append(None), bands.append(None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sketch", "bands"])
+        _WORDS.clear()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sketch binary, bands array<long>")
 
