@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 
-MAX_WORDS = 350_000
+MAX_WORDS = 700_000
 BLOCK_CHARS = 2_000_000
 _NOT_LATIN = re.compile("[^\x00-į]")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
