@@ -25,18 +25,7 @@ def tax_id_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(F.trim(c)), "^RO", ""), "[^A-Z0-9]", "")
 
 
-def tax_id_valid(key: Column) -> Column:
-    """Whether the check digit of a key of 2 to 10 digits holds; null where a key can't be judged."""
-    body = F.lpad(F.substring(key, F.lit(1), F.length(key) - 1), 9, "0")
-    total = sum((F.substring(body, i + 1, 1).cast("int") * w for i, w in enumerate(TAX_ID_WEIGHTS)), F.lit(0))
-    return F.when(key.rlike("^[0-9]{2,10}$"), total * 10 % 11 % 10 == F.substring(key, -1, 1).cast("int"))
-
-
-def company_name_key(c: Column) -> Column:
-    """Upper case, single blanks between runs of letters and digits."""
-    return F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
-
-
-def glued_numbers(c: Column) -> Column:
-    """Contacts of a letter with a digit, in either order; such contacts mark badly read text."""
-    return (F.regexp_count(c, F.lit("[A-Za-z](?=[0-9])")) + F.regexp_count(c, F.lit("[0-9](?=[A-Za-z])"))).cast("long")
+def glued_numbers(c: Column, head: int = 20000) -> Column:
+    """Contacts of a letter with a digit, in either order, that don't overlap, at the beginning of a text; such contacts
+    mark badly read text. The limit is part of the score, which compares readings of one page."""
+    return F.regexp_count(F.substring(c, 1, head), F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")).cast("long")

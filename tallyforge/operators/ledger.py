@@ -2,43 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, round2
 
-ENTRY = "array<struct<account:string,debit:decimal(14,2),credit:decimal(14,2)>>"
-
 
 def non_deductible(vat: Column, deductibility: Column) -> Column:
     """The part of the VAT that is a cost: none, what half leaves, or all."""
     return F.when(deductibility == "FULL", F.lit(0).cast(MONEY)).when(deductibility == "PARTIAL_50", (vat - round2(vat / 2)).cast(MONEY)).otherwise(vat)
 
 
-def _entry(account, amount: Column, debit: Column) -> Column:
+#: Accounts that keep the document's own amounts, whatever the rounding (fixed values).
+PROTECTED = r"^(401|404|408|411|4426|4427|462|5121|5124|5311)(\\.|$)"
+
+
+def money(amount: Column, rate: Column) -> Column:
+    """An amount in RON, two decimals, half toward plus infinity."""
+    return F.floor((amount * rate + F.lit(2.0**-52)) * 100 + F.lit(0.5)) / 100
+
+
+def draft_entry(account: Column, debit: Column, credit: Column, idx: Column) -> Column:
     """A negative amount moves to the other side."""
-    on_debit = debit == (amount >= 0)
-    size, zero = F.abs(amount).cast(MONEY), F.lit(0).cast(MONEY)
-    return F.struct((F.lit(account) if isinstance(account, str) else account).alias("account"), F.when(on_debit, size).otherwise(zero).alias("debit"), F.when(on_debit, zero).otherwise(size).alias("credit"))
+    zero = F.lit(0.0)
+    side = lambda own, other: (F.greatest(own, zero) + F.greatest(-other, zero)).cast(MONEY)
+    return F.struct(idx.cast("int").alias("idx"), account.alias("account"), side(debit, credit).alias("debit"), side(credit, debit).alias("credit"))
 
 
-def journal(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """Entries of approved invoices and receipts, without those under 0.004.
+def draft_entries(documents: DataFrame, lines: DataFrame) -> DataFrame:
+    """Entries of approved invoices, receipts and dispositions with their rate (null: none was published).
 
-    Lines and documents meet in one shuffle on the document, in which the counter entry of the total is summed too.
+    Outgoing: 411 for the total, 707 for each line, 4427 for the VAT. Incoming: 401, each line's own account with what of
+    its VAT can't be deducted, 4426 for the rest. A line without VAT takes a share of the document's. Receipts have 5311
+    for 401 and 411; dispositions move their total between 5311 and 401 or 411. Lines and documents meet in one shuffle
+    on the document, which all windows and the balancing use.
     """
-    live = documents.where("review_status = 'APPROVED' and type in ('Invoice', 'Receipt')").select("document_id", "direction", "type", "document_date")
+    live = documents.where("review_status = 'APPROVED'").select("document_id", "type", "direction", "document_date", "rate")
+    own = Window.partitionBy("document_id")
     both = lines.join(live, "document_id")
-    incoming = F.col("direction") == "incoming"
-    cost = non_deductible(F.col("vat"), F.col("deductibility"))
-    yes, no = F.lit(True), F.lit(False)
-    own = F.when(incoming, F.array(_entry(F.col("account"), (F.col("net") + cost).cast(MONEY), yes), _entry("4426", (F.col("vat") - cost).cast(MONEY), yes))).otherwise(F.array(_entry("707", F.col("net"), no), _entry("4427", F.col("vat"), no)))
-    head = ("document_id", "document_date", "direction", "type")
-    of_lines = both.select(*head, F.explode(own.cast(ENTRY)).alias("e")).select("document_id", "document_date", "e.*")
-    totals = both.groupBy(*head).agg(F.sum(F.col("net") + F.col("vat")).cast(MONEY).alias("total"))
-    account = F.when(F.col("type") == "Receipt", "5311").when(incoming, "401").otherwise("411")
-    of_totals = totals.select("document_id", "document_date", _entry(account, F.col("total"), ~incoming).alias("e")).select("document_id", "document_date", "e.*")
-    return of_lines.unionByName(of_totals).where("debit + credit >= 0.004")
+    both = both.select("*", F.sum("net").over(own).cast("double").alias("doc_net"), F.sum("vat").over(own).cast("double").alias("doc_vat"), F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("pos")).alias("i"))
+    net, vat, rate, zero = F.col("net").cast("double"), F.col("vat").cast("double"), F.col("rate"), F.lit(0.0)
+    share = F.when((F.col("doc_vat") > 0) & (F.col("doc_net") > 0), F.col("doc_vat") * net / F.col("doc_net")).otherwise(zero)
+    both = both.withColumn("line_vat", F.when(vat == 0, share).otherwise(vat))
+    part = F.when(F.col("deductibility") == "FULL", F.col("line_vat")).when(F.col("deductibility") == "PARTIAL_50", F.col("line_vat") / 2).otherwise(zero)
+    both = both.withColumn("part", part).withColumn("deducted", F.sum(F.col("part").cast("decimal(18,6)")).over(own).cast("double"))
+    incoming, sale = F.col("direction") == "incoming", F.col("type").isin("Invoice", "Receipt")
+    total = money(F.col("doc_net") + F.col("doc_vat"), rate)
+    first, last = F.col("i") == 1, F.col("i") == F.col("n")
+    party = F.when(incoming, "401").otherwise("411")
+    counter = F.when(F.col("type") == "Receipt", "5311").otherwise(party)
+    paid = F.col("type") == "Payment Disposition"
+    head = F.when(first & sale, draft_entry(counter, F.when(incoming, zero).otherwise(total), F.when(incoming, total).otherwise(zero), F.lit(0)))
+    line = F.when(sale & incoming, draft_entry(F.col("account"), money(net + F.col("line_vat") - F.col("part"), rate), zero, F.col("i"))).when(sale, draft_entry(F.lit("707"), zero, money(net, rate), F.col("i")))
+    tax = F.when(last & sale & incoming & (F.col("deducted") > 0), draft_entry(F.lit("4426"), money(F.col("deducted"), rate), zero, F.col("n") + 1)).when(last & sale & ~incoming & (F.col("doc_vat") > 0), draft_entry(F.lit("4427"), zero, money(F.col("doc_vat"), rate), F.col("n") + 1))
+    moved = [F.when(first & ~sale, draft_entry(F.when(paid, a).otherwise(b), total if on_debit else zero, zero if on_debit else total, F.lit(k))) for k, (a, b, on_debit) in enumerate((("401", "5311", True), ("5311", "411", False)))]
+    return both.select("document_id", "document_date", "type", "direction", "rate", (F.col("doc_net") + F.col("doc_vat")).alias("total"), F.explode(F.array_compact(F.array(head, line, tax, *moved))).alias("e")).select("document_id", "document_date", "type", "direction", "rate", "total", "e.*")
+
+
+def balanced_entries(entries: DataFrame) -> DataFrame:
+    """Entries over 0.004; a difference of up to 0.05 goes to the document's last unprotected entry that can bear it:
+    taken from the larger side, else added to the other. gap is what the document's sides still differ by."""
+    own = Window.partitionBy("document_id")
+    some = entries.where("debit > 0.004 or credit > 0.004 or rate is null")
+    diff = F.sum(F.col("debit") - F.col("credit")).over(own)
+    some = some.withColumn("diff", F.when(F.abs(diff) <= 0.05, diff).otherwise(F.lit(0).cast(MONEY))).withColumn("gap", diff)
+    free = ~F.col("account").rlike(PROTECTED)
+    size, up = F.abs("diff"), F.col("diff") > 0
+    large, small = F.when(up, F.col("debit")).otherwise(F.col("credit")), F.when(up, F.col("credit")).otherwise(F.col("debit"))
+    some = some.withColumn("take", F.max(F.when(free & (large >= size), F.col("idx"))).over(own)).withColumn("give", F.max(F.when(free & (small > 0), F.col("idx"))).over(own))
+    takes = (F.col("idx") == F.col("take")) & (F.col("diff") != 0)
+    gives = F.col("take").isNull() & (F.col("idx") == F.col("give")) & (F.col("diff") != 0)
+    change = lambda side, is_large: (F.col(side) + F.when(takes & is_large, -size).when(gives & ~is_large, size).otherwise(0)).cast(MONEY)
+    settled = F.when(F.coalesce("take", "give").isNotNull(), F.col("gap") - F.col("diff")).otherwise(F.col("gap")).alias("gap")
+    return some.select("document_id", "document_date", "type", "direction", "rate", "total", "idx", "account", change("debit", F.coalesce(up, F.lit(False))).alias("debit"), change("credit", F.coalesce(~up, F.lit(False))).alias("credit"), settled)
+
+
+def _error() -> Column:
+    """What keeps a document out of the ledger, if anything."""
+    return F.when(F.col("rate").isNull(), "no rate").when(F.col("total") <= 0, "no total").when(F.abs("gap") > 0.01, "unbalanced")
+
+
+def posting_status(entries: DataFrame) -> DataFrame:
+    """POSTED or ERROR with the reason, for each document with entries."""
+    return entries.groupBy("document_id").agg(F.max(_error()).alias("error"), F.count("*").alias("n_entries")).select("document_id", F.when(F.col("error").isNull(), "POSTED").otherwise("ERROR").alias("status"), "error", "n_entries")
+
+
+def journal(documents: DataFrame, lines: DataFrame) -> DataFrame:
+    """Balanced entries in RON of the documents without errors, with their posting keys; documents carry their rate."""
+    posted = balanced_entries(draft_entries(documents, lines)).where(_error().isNull())
+    source = F.when(F.col("type") == "Invoice", F.when(F.col("direction") == "incoming", "INVOICE_IN").otherwise("INVOICE_OUT")).when(F.col("type") == "Receipt", "RECEIPT").when(F.col("type") == "Payment Disposition", "PAYMENT_DISPOSITION").otherwise("COLLECTION_DISPOSITION")
+    at = F.row_number().over(Window.partitionBy("document_id").orderBy("idx")) - 1
+    key = F.concat_ws(":", F.lit("DOC"), "document_id", source, F.date_format("document_date", "yyyy-MM-dd"), at)
+    return posted.select("document_id", "document_date", key.alias("posting_key"), "account", "debit", "credit")
 
 
 def balances(entries: DataFrame, *by: str) -> DataFrame:

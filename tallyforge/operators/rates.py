@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A rate table of up to so many rows is sent to all executors; a longer one meets the documents in a shuffle.
+BROADCAST_RATES = 200_000
+
 
 def rates_as_of(documents: DataFrame, rates: DataFrame) -> DataFrame:
     """documents with the last rate published on or before their date; RON is 1, no rate gives null.
 
-    A rate holds until the next one. It is listed under each month that it touches, so the join has the keys
-    (currency, month) and no currency's documents lie in one task.
+    A rate holds until the next one, and is listed under each month that it touches, so the join has the keys
+    (currency, month) and no currency's documents lie in one task. Documents in RON don't take part in a shuffle.
     """
     after = F.lead("rate_date").over(Window.partitionBy("currency").orderBy("rate_date"))
-    last = documents.agg(F.max("document_date").alias("last_date"))
-    spans = rates.withColumn("until", after).crossJoin(F.broadcast(last)).withColumn("until", F.coalesce("until", F.greatest(F.date_add("last_date", 1), F.date_add("rate_date", 1))))
-    months = spans.select("currency", "rate_date", "until", "rate", F.explode(F.sequence(F.trunc("rate_date", "month"), F.trunc("until", "month"), F.expr("interval 1 month"))).alias("month"))
-    docs = documents.withColumn("month", F.trunc("document_date", "month")).alias("d")
-    r = months.withColumnsRenamed({"currency": "r_currency", "month": "r_month"}).hint("shuffle_hash")
-    met = docs.join(r, (F.col("d.currency") == F.col("r_currency")) & (F.col("d.month") == F.col("r_month")) & (F.col("document_date") >= F.col("rate_date")) & (F.col("document_date") < F.col("until")), "left")
-    return met.select("d.*", F.when(F.col("d.currency") == "RON", F.lit(1.0)).otherwise(F.col("rate")).alias("rate"), "rate_date").drop("month")
+    last = documents.agg(F.max("document_date").alias("d")).first()["d"]
+    until = F.coalesce(after, F.date_add(F.greatest("rate_date", F.lit(last).cast("date")), 1))
+    spans = rates.withColumn("until", until)
+    months = spans.select(F.col("currency").alias("r_currency"), "rate_date", "until", "rate", F.explode(F.sequence(F.trunc("rate_date", "month"), F.trunc("until", "month"), F.expr("interval 1 month"))).alias("r_month"))
+    small = rates.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES
+    d = documents.alias("d")
+    on = (F.col("d.currency") == F.col("r_currency")) & (F.trunc("d.document_date", "month") == F.col("r_month")) & (F.col("d.document_date") >= F.col("rate_date")) & (F.col("d.document_date") < F.col("until"))
+    rate = F.when(F.col("d.currency") == "RON", F.lit(1.0)).otherwise(F.col("rate")).alias("rate")
+    if small:
+        return d.join(F.broadcast(months), on, "left").select("d.*", rate, "rate_date")
+    foreign = documents.where("currency <> 'RON'").alias("d").join(months.hint("merge"), on, "left").select("d.*", rate, "rate_date")
+    return foreign.unionByName(documents.where("not coalesce(currency <> 'RON', false)").select("*", F.when(F.col("currency") == "RON", 1.0).alias("rate"), F.lit(None).cast("date").alias("rate_date")))

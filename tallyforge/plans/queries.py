@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import money
+from ..functions import checks, money, normalise
 from ..operators import bank, ledger, monitor, rates, stock
 from ..sources import driver_tables as src
 from ..sources.driver_tables import table
+from . import field_queries
+
+MORE = (field_queries,)
+
+
+def _rated(spark, sf_dir):
+    return rates.rates_as_of(src.documents(spark, sf_dir), src.rates(spark, sf_dir))
 
 
 def _journal(spark, sf_dir):
-    return ledger.journal(src.documents(spark, sf_dir), src.lines(spark, sf_dir))
+    return ledger.journal(_rated(spark, sf_dir), src.lines(spark, sf_dir))
 
 
 def trial_balance(spark, sf_dir):
@@ -27,7 +34,7 @@ def ledger_summary(spark, sf_dir):
 
 
 def ledger_by_prefix(spark, sf_dir):
-    docs = src.documents(spark, sf_dir).where("document_date between date'1995-01-01' and date'1996-12-31'")
+    docs = _rated(spark, sf_dir).where("document_date between date'1995-01-01' and date'1996-12-31'")
     return ledger.balances(ledger.journal(docs, src.lines(spark, sf_dir)).where(F.col("account").startswith("44")), "account", "document_date")
 
 
@@ -40,11 +47,15 @@ def vat_breakdown(spark, sf_dir):
 
 
 def fx_as_of(spark, sf_dir):
-    docs = src.documents(spark, sf_dir).select("document_id", "currency", "document_date")
-    month = F.trunc("document_date", "month").alias("rate_date")
-    published = docs.where("currency <> 'RON' and month(document_date) % 3 = 1").select("currency", month).distinct()
-    raw = F.when(F.col("currency") == "EUR", 4.5 + F.month("rate_date") / 16).otherwise((1.25 + F.month("rate_date") / 64) / 100)
-    return rates.rates_as_of(docs, published.withColumn("rate", raw))
+    return rates.rates_as_of(src.documents(spark, sf_dir).select("document_id", "currency", "document_date"), src.rates(spark, sf_dir))
+
+
+def posting_status(spark, sf_dir):
+    return ledger.posting_status(ledger.balanced_entries(ledger.draft_entries(_rated(spark, sf_dir), src.lines(spark, sf_dir))))
+
+
+def posting_keys(spark, sf_dir):
+    return _journal(spark, sf_dir).select("posting_key", "account", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
 
 
 def running_balance(spark, sf_dir):
@@ -101,11 +112,11 @@ def check_tax_id(spark, sf_dir):
     ids = table(spark, sf_dir, "customer").select(F.lit("client").alias("role"), F.col("c_custkey").alias("id"), F.concat(F.lit("ro "), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("raw"))
     ids = ids.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("role"), F.col("s_suppkey").alias("id"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("raw")))
     key = money.tax_id_key(F.col("raw"))
-    return ids.select("role", "id", key.alias("tax_id"), money.tax_id_valid(key).alias("valid"))
+    return ids.select("role", "id", key.alias("tax_id"), checks.tax_id_valid(F.col("raw")).alias("valid"))
 
 
 def partner_keys(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", money.company_name_key(F.col("c_name")).alias("name_key"), money.reference_key(F.substring_index("c_name", "#", -1)).alias("reference_key"))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalise.company_name_key(F.col("c_name")).alias("name_key"), money.reference_key(F.substring_index("c_name", "#", -1)).alias("reference_key"))
 
 
 def text_quality(spark, sf_dir):
@@ -119,11 +130,11 @@ def open_items(spark, sf_dir):
     return met.groupBy("partner_id", "direction").agg(F.sum((F.col("net") + F.col("vat")) * F.col("sign")).cast("double").alias("outstanding"), F.countDistinct("document_id").alias("n_documents"))
 
 
-NAMES = (trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, running_balance, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
+NAMES = (posting_status, posting_keys, trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, running_balance, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
 
 
 def queries():
-    return {f.__name__: f for f in NAMES}
+    return {f.__name__: f for part in (NAMES, *(m.NAMES for m in MORE)) for f in part}
 
 
 _FX = """
@@ -138,7 +149,7 @@ WITH fx_documents AS (
 ), raw_lines AS (
   SELECT *, CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * floor(l_extendedprice * (1 - l_discount) * 100 + 0.5::DOUBLE) / 100 AS net_raw FROM lineitem
 ), fx_lines0 AS (
-  SELECT l_orderkey AS document_id, l_partkey AS vehicle_id, CAST(net_raw AS DECIMAL(14,2)) AS net,
+  SELECT l_orderkey AS document_id, l_partkey AS vehicle_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, CAST(net_raw AS DECIMAL(14,2)) AS net,
          CAST(floor(net_raw * l_tax * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2)) AS vat,
          CAST(round(l_tax * 100) AS INTEGER) AS vat_rate,
          CASE l_returnflag WHEN 'A' THEN 'FULL' WHEN 'N' THEN 'PARTIAL_50' ELSE 'NONE' END AS deductibility,
@@ -152,19 +163,49 @@ WITH fx_documents AS (
          CASE WHEN event_type IN ('purchase', 'error') THEN 0::DECIMAL(14,2) ELSE CAST(floor(value * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2)) END AS credit
   FROM events
 )"""
-_JOURNAL = _FX + """, live AS (
-  SELECT l.*, d.direction, d.type, d.document_date FROM fx_lines l JOIN fx_documents d USING (document_id)
-  WHERE d.review_status = 'APPROVED' AND d.type IN ('Invoice', 'Receipt')
-), amounts AS (
-  SELECT document_id, document_date, account, net + cost AS amount FROM live WHERE direction = 'incoming'
-  UNION ALL SELECT document_id, document_date, '4426', vat - cost FROM live WHERE direction = 'incoming'
-  UNION ALL SELECT document_id, document_date, '707', -net FROM live WHERE direction = 'outgoing'
-  UNION ALL SELECT document_id, document_date, '4427', -vat FROM live WHERE direction = 'outgoing'
-  UNION ALL SELECT document_id, document_date, CASE WHEN type = 'Receipt' THEN '5311' WHEN direction = 'incoming' THEN '401' ELSE '411' END,
-                   CASE WHEN direction = 'incoming' THEN -sum(net + vat) ELSE sum(net + vat) END
-            FROM live GROUP BY document_id, document_date, direction, type
+_M = "floor((({}) * rate + 2.220446049250313e-16::DOUBLE) * 100 + 0.5::DOUBLE) / 100"
+_JOURNAL = _FX + f""", published AS (
+  SELECT DISTINCT currency, CAST(date_trunc('month', document_date) AS DATE) AS rate_date,
+         CASE currency WHEN 'EUR' THEN 4.5::DOUBLE + month(document_date)::DOUBLE / 16 ELSE (1.25::DOUBLE + month(document_date)::DOUBLE / 64) / 100 END AS rate
+  FROM fx_documents WHERE currency <> 'RON' AND month(document_date) % 3 = 1
+), rated AS (
+  SELECT d.document_id, d.type, d.direction, d.document_date, CASE d.currency WHEN 'RON' THEN 1.0::DOUBLE ELSE r.rate END AS rate
+  FROM fx_documents d ASOF LEFT JOIN published r ON d.currency = r.currency AND d.document_date >= r.rate_date WHERE d.review_status = 'APPROVED'
+), placed AS (
+  SELECT l.account, l.deductibility, d.*, CAST(l.net AS DOUBLE) AS net, CAST(l.vat AS DOUBLE) AS vat, CAST(sum(l.net) OVER w AS DOUBLE) AS doc_net, CAST(sum(l.vat) OVER w AS DOUBLE) AS doc_vat, count(*) OVER w AS n,
+         row_number() OVER (PARTITION BY l.document_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS i
+  FROM fx_lines l JOIN rated d ON l.document_id = d.document_id WINDOW w AS (PARTITION BY l.document_id)
+), taxed AS (
+  SELECT *, CASE WHEN vat <> 0 THEN vat WHEN doc_vat > 0 AND doc_net > 0 THEN doc_vat * net / doc_net ELSE 0.0::DOUBLE END AS line_vat FROM placed
+), parted AS (
+  SELECT *, CASE deductibility WHEN 'FULL' THEN line_vat WHEN 'PARTIAL_50' THEN line_vat / 2 ELSE 0.0::DOUBLE END AS part FROM taxed
+), deducted AS (
+  SELECT *, CAST(sum(CAST(part AS DECIMAL(18,6))) OVER (PARTITION BY document_id) AS DOUBLE) AS ded FROM parted
+), heads AS (SELECT * FROM deducted WHERE i = 1), signed AS (
+  SELECT document_id, 0 AS idx, CASE WHEN type = 'Receipt' THEN '5311' WHEN direction = 'incoming' THEN '401' ELSE '411' END AS account, CASE WHEN direction = 'incoming' THEN -1 ELSE 1 END * ({_M.format('doc_net + doc_vat')}) AS amount FROM heads WHERE type IN ('Invoice', 'Receipt')
+  UNION ALL SELECT document_id, i, CASE WHEN direction = 'incoming' THEN account ELSE '707' END, CASE WHEN direction = 'incoming' THEN {_M.format('net + line_vat - part')} ELSE -({_M.format('net')}) END FROM deducted WHERE type IN ('Invoice', 'Receipt')
+  UNION ALL SELECT document_id, n + 1, '4426', {_M.format('ded')} FROM heads WHERE type IN ('Invoice', 'Receipt') AND direction = 'incoming' AND ded > 0
+  UNION ALL SELECT document_id, n + 1, '4427', -({_M.format('doc_vat')}) FROM heads WHERE type IN ('Invoice', 'Receipt') AND direction = 'outgoing' AND doc_vat > 0
+  UNION ALL SELECT document_id, 0, CASE WHEN type LIKE 'Pay%' THEN '401' ELSE '5311' END, {_M.format('doc_net + doc_vat')} FROM heads WHERE type LIKE '%Disposition'
+  UNION ALL SELECT document_id, 1, CASE WHEN type LIKE 'Pay%' THEN '5311' ELSE '411' END, -({_M.format('doc_net + doc_vat')}) FROM heads WHERE type LIKE '%Disposition'
+), sided AS (
+  SELECT s.document_id, s.idx, s.account, h.rate, h.type, h.direction, h.document_date, h.doc_net + h.doc_vat AS total, CAST(greatest(amount, 0) AS DECIMAL(14,2)) AS debit, CAST(greatest(-amount, 0) AS DECIMAL(14,2)) AS credit, amount IS NULL AS void
+  FROM signed s JOIN heads h USING (document_id)
+), gaps AS (
+  SELECT *, sum(debit - credit) OVER (PARTITION BY document_id) AS gap, NOT regexp_matches(account, '^(401|404|408|411|4426|4427|462|5121|5124|5311)([.]|$)') AS free FROM sided WHERE void OR debit > 0.004 OR credit > 0.004
+), sought AS (
+  SELECT *, CASE WHEN abs(gap) <= 0.05 THEN gap ELSE 0 END AS diff, CASE WHEN gap > 0 THEN debit ELSE credit END AS large, CASE WHEN gap > 0 THEN credit ELSE debit END AS small FROM gaps
+), found AS (
+  SELECT *, max(idx) FILTER (free AND large >= abs(diff)) OVER (PARTITION BY document_id) AS take, max(idx) FILTER (free AND small > 0) OVER (PARTITION BY document_id) AS give FROM sought
+), evened AS (
+  SELECT document_id, document_date, type, direction, idx, account, void, total, gap - CASE WHEN coalesce(take, give) IS NULL THEN 0 ELSE diff END AS rest,
+         debit + CASE WHEN diff > 0 AND idx = take THEN -diff WHEN diff < 0 AND take IS NULL AND idx = give THEN -diff ELSE 0 END AS debit,
+         credit + CASE WHEN diff < 0 AND idx = take THEN diff WHEN diff > 0 AND take IS NULL AND idx = give THEN diff ELSE 0 END AS credit FROM found
+), judged AS (
+  SELECT *, CASE WHEN void THEN 'no rate' WHEN total <= 0 THEN 'no total' WHEN abs(rest) > 0.01 THEN 'unbalanced' END AS error FROM evened
 ), journal AS (
-  SELECT document_id, document_date, account, greatest(amount, 0) AS debit, greatest(-amount, 0) AS credit FROM amounts WHERE amount <> 0
+  SELECT document_id, document_date, account, debit, credit, 'DOC:' || document_id || ':' || CASE type WHEN 'Invoice' THEN CASE direction WHEN 'incoming' THEN 'INVOICE_IN' ELSE 'INVOICE_OUT' END WHEN 'Receipt' THEN 'RECEIPT' ELSE upper(replace(type, ' ', '_')) END
+         || ':' || document_date || ':' || (row_number() OVER (PARTITION BY document_id ORDER BY idx) - 1) AS posting_key FROM judged WHERE error IS NULL
 )"""
 _SUMS = "CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit, CAST(sum(debit) - sum(credit) AS DOUBLE) AS balance, count(*) AS n_entries FROM journal"
 _COSTS = """, costs AS (
@@ -176,8 +217,17 @@ _TAX = "regexp_replace(regexp_replace(upper(trim(raw)), '^RO', ''), '[^A-Z0-9]',
 
 
 def oracle_sql():
+    out = _own_sql()
+    for m in MORE:
+        out |= m.oracle_sql()
+    return out
+
+
+def _own_sql():
     weights = " + ".join(f"CAST(substr(lpad(left(tax_id, length(tax_id) - 1), 9, '0'), {i + 1}, 1) AS INTEGER) * {w}" for i, w in enumerate(money.TAX_ID_WEIGHTS))
     return {
+        "posting_status": f"{_JOURNAL} SELECT document_id, CASE WHEN max(error) IS NULL THEN 'POSTED' ELSE 'ERROR' END AS status, max(error) AS error, count(*) AS n_entries FROM judged GROUP BY document_id",
+        "posting_keys": f"{_JOURNAL} SELECT posting_key, account, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM journal",
         "trial_balance": f"{_JOURNAL} SELECT account, {_SUMS} GROUP BY account",
         "journal_totals": f"{_JOURNAL} SELECT document_id, {_SUMS} GROUP BY document_id",
         "ledger_summary": f"{_JOURNAL} SELECT account, strftime(document_date, '%Y-%m') AS month, {_SUMS} GROUP BY ALL",
@@ -209,6 +259,6 @@ CAST(sum(CAST(floor(value * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2))) AS DOUBL
 UNION ALL SELECT 'supplier', s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') FROM supplier), k AS (SELECT role, id, {_TAX} AS tax_id FROM ids)
 SELECT role, id, tax_id, CASE WHEN regexp_full_match(tax_id, '[0-9]{{2,10}}') THEN ({weights}) * 10 % 11 % 10 = CAST(right(tax_id, 1) AS INTEGER) END AS valid FROM k""",
         "partner_keys": "SELECT c_custkey, trim(regexp_replace(upper(c_name), '[^A-Z0-9]+', ' ', 'g')) AS name_key, regexp_replace(regexp_replace(upper(split_part(c_name, '#', -1)), '[^A-Z0-9]', '', 'g'), '^0+', '') AS reference_key FROM customer",
-        "text_quality": "SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(text, '[0-9]+', '0', 'g'), '[A-Za-z]0')) + len(regexp_extract_all(regexp_replace(text, '[0-9]+', '0', 'g'), '0[A-Za-z]')) AS BIGINT) AS glued FROM documents",
+        "text_quality": "SELECT doc_id, CAST(len(regexp_extract_all(left(text, 20000), '[A-Za-z][0-9]|[0-9][A-Za-z]')) AS BIGINT) AS glued FROM documents",
         "open_items": f"{_FX} SELECT partner_id, direction, CAST(sum((net + vat) * CASE type WHEN 'Invoice' THEN 1 ELSE -1 END) AS DOUBLE) AS outstanding, count(DISTINCT document_id) AS n_documents FROM fx_lines JOIN fx_documents USING (document_id) WHERE type <> 'Receipt' GROUP BY ALL",
     }

@@ -40,9 +40,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_tax") * 100).cast("int").alias("vat_rate"),
         F.when(F.col("l_returnflag") == "A", "FULL").when(F.col("l_returnflag") == "N", "PARTIAL_50").otherwise("NONE").alias("deductibility"),
         account.alias("account"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate").alias("pos"),
     )
 
 
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published rate for each foreign currency and first month of a quarter that has documents."""
+    month = F.trunc("document_date", "month").alias("rate_date")
+    published = documents(spark, sf_dir).where("currency <> 'RON' and month(document_date) % 3 = 1").select("currency", month).distinct()
+    return published.withColumn("rate", F.when(F.col("currency") == "EUR", 4.5 + F.month("rate_date") / 16).otherwise((1.25 + F.month("rate_date") / 64) / 100))
+
+
 def bank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank transactions; purchases and errors are debits."""
     amount = round2(F.col("value"))
