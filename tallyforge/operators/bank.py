@@ -1,17 +1,11 @@
-"""Bank statements: running balances, turnovers, gaps and repeated rows."""
+"""Bank statements: turnovers, sums, gaps and repeated rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def running_balance(rows: DataFrame) -> DataFrame:
-    """Balance after each row of a statement, by time and row number."""
-    w = Window.partitionBy("statement_id").orderBy("ts", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("statement_id", "row_no", F.sum(F.col("credit") - F.col("debit")).over(w).cast("double").alias("balance"))
-
-
 def day_turnover(rows: DataFrame) -> DataFrame:
     return rows.groupBy("statement_id", "day").agg(F.sum("debit").cast("double").alias("debit"), F.sum("credit").cast("double").alias("credit"), F.count("*").alias("n_rows"))
 

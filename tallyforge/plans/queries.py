@@ -8,9 +8,9 @@ from ..functions import checks, money, normalise
 from ..operators import bank, ledger, monitor, rates, stock
 from ..sources import driver_tables as src
 from ..sources.driver_tables import table
-from . import field_queries
+from . import field_queries, work_queries
 
-MORE = (field_queries,)
+MORE = (field_queries, work_queries)
 
 
 def _rated(spark, sf_dir):
@@ -58,10 +58,6 @@ def posting_keys(spark, sf_dir):
     return _journal(spark, sf_dir).select("posting_key", "account", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
 
 
-def running_balance(spark, sf_dir):
-    return bank.running_balance(src.bank_rows(spark, sf_dir))
-
-
 def day_turnover(spark, sf_dir):
     return bank.day_turnover(src.bank_rows(spark, sf_dir))
 
@@ -130,7 +126,7 @@ def open_items(spark, sf_dir):
     return met.groupBy("partner_id", "direction").agg(F.sum((F.col("net") + F.col("vat")) * F.col("sign")).cast("double").alias("outstanding"), F.countDistinct("document_id").alias("n_documents"))
 
 
-NAMES = (posting_status, posting_keys, trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, running_balance, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
+NAMES = (posting_status, posting_keys, trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
 
 
 def queries():
@@ -240,7 +236,6 @@ def _own_sql():
   FROM fx_documents WHERE currency <> 'RON' AND month(document_date) % 3 = 1
 ) SELECT d.document_id, d.currency, d.document_date, CASE d.currency WHEN 'RON' THEN 1.0::DOUBLE ELSE r.rate END AS rate, r.rate_date
 FROM fx_documents d ASOF LEFT JOIN rates r ON d.currency = r.currency AND d.document_date >= r.rate_date""",
-        "running_balance": f"{_FX} SELECT statement_id, row_no, CAST(sum(credit - debit) OVER (PARTITION BY statement_id ORDER BY ts, row_no ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM fx_bank",
         "day_turnover": f"{_FX} SELECT statement_id, day, CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit, count(*) AS n_rows FROM fx_bank GROUP BY ALL",
         "statement_summary": f"{_FX} SELECT statement_id, count(*) AS n_rows, CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit, CAST(sum(credit - debit) AS DOUBLE) AS closing, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (debit > 0) AS n_debits FROM fx_bank GROUP BY ALL",
         "statement_gap": f"{_FX} SELECT statement_id, CAST(abs(sum(credit - debit) - sum(credit - debit) FILTER (event_type <> 'error')) AS DOUBLE) AS gap FROM fx_bank GROUP BY ALL HAVING count(*) FILTER (event_type <> 'error') > 0",

@@ -1 +1,46 @@
+"""Streams of documents and metric events; each function has a batch twin with the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.worklists import window_metrics
+
+
+def stream_table(spark: SparkSession, path: str, schema, files_each: int = 8) -> DataFrame:
+    """New files of a folder of Parquet files, at most files_each in one batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
+
+
+def first_arrivals(stream: DataFrame, keys: list[str], time: str, horizon: str) -> DataFrame:
+    """Rows whose keys (tenant, content hash) have not been seen within the horizon; state older than it goes."""
+    return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
+
+
+def write_metrics(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Closed windows of metrics, appended once each; runs until what has arrived is done."""
+    return window_metrics(events).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
+
+
+def rewrite_documents(stream: DataFrame, entries_of, path: str, checkpoint: str) -> StreamingQuery:
+    """Entries of newly approved documents, one partition for each document month that a batch rewrites: what the table
+    has for the batch's documents is replaced, so a batch that runs again changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = entries_of(batch)
+        try:
+            old = spark.read.parquet(path)
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            new.write.partitionBy("month").parquet(path)
+            return
+        touched = batch.select("month").distinct()
+        kept = old.join(touched, "month", "left_semi").join(batch.select("document_id"), "document_id", "left_anti")
+        staged = f"{path}-staged/{batch_id}"
+        kept.unionByName(new).write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
