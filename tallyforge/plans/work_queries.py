@@ -252,7 +252,7 @@ SELECT file_id, min(start_page) AS start_page, max(end_page) AS end_page, coales
         "contract_numbers": "WITH o AS (SELECT o_custkey % 7 AS tenant, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS series, o_orderkey AS request FROM orders) SELECT tenant, series, request, 'CV-' || lpad(CAST(CASE series WHEN 'A' THEN 41 ELSE 0 END + row_number() OVER (PARTITION BY tenant, series ORDER BY request) AS VARCHAR), 5, '0') AS number FROM o",
         "stuck_uploads": f"{uploads} SELECT upload_id, CASE WHEN retries + 1 >= 3 THEN 'ERROR' ELSE 'QUEUED' END AS status, CAST(retries + 1 AS BIGINT) AS retries FROM u WHERE status = 'PROCESSING' AND started < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE",
         "retries_due": f"{uploads} SELECT upload_id, retries FROM u WHERE status = 'ERROR' AND retries < 3 AND epoch(TIMESTAMP '{NOW}') - floor(epoch(started)) >= 5 * CASE retries WHEN 2 THEN 2 ELSE 1 END",
-        "processing_durations": "SELECT user_id AS upload_id, event_id, event_type AS step, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ms FROM events",
+        "processing_durations": "SELECT user_id AS upload_id, event_id, event_type AS step, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ms FROM events",
         "export_split": f"{dated} SELECT * FROM split",
         "export_manifest": f"{dated} SELECT type, count(*) FILTER (reason IS NULL) AS n_exported, count(reason) AS n_excluded, count(*) FILTER (reason IS NULL) > 0 AS included FROM split WHERE type <> 'Collection Disposition' GROUP BY type",
         "export_periods": f"{_FX}, p AS (SELECT unnest(['month', 'quarter', 'year']) AS preset, document_date FROM fx_documents), b AS (SELECT preset, CAST(date_trunc(preset, document_date) AS DATE) AS first_day FROM p) SELECT preset, first_day, CAST(first_day + CASE preset WHEN 'month' THEN INTERVAL 1 MONTH WHEN 'quarter' THEN INTERVAL 3 MONTH ELSE INTERVAL 12 MONTH END - INTERVAL 1 DAY AS DATE) AS last_day, count(*) AS n_documents FROM b GROUP BY ALL",
