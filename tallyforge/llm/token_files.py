@@ -59,10 +59,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             ids.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             texts = batch.column(1)
             for lo in range(0, len(texts), 512):
-                for b in enc.encode(texts.slice(lo, 512).to_pylist()):
-                    one = np.frombuffer(b + end, "<u4")
-                    out.write(one.astype(kind).tobytes())
-                    sizes.append(len(one))
+                got = enc.encode(texts.slice(lo, 512).to_pylist())
+                out.write(np.frombuffer(end.join([*got, b""]), "<u4").astype(kind).tobytes())
+                sizes += [len(b) // 4 + 1 for b in got]
         if out is None:
             return
         out.close()

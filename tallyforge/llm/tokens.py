@@ -49,7 +49,7 @@ class WordEncoder:
         cache = self.cache
         stems, alone, joined = set(), [], []
         for w in new:
-            if _NOT_LATIN.search(w):  # what case folding makes of other letters may join with their neighbours
+            if not w.isascii() and _NOT_LATIN.search(w):  # what case folding makes of other letters may join with their neighbours
                 alone.append(w)
             elif w.isalpha():
                 stems.add(w)
