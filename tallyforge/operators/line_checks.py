@@ -120,6 +120,6 @@ def document_scores(documents: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def line_confidence(checks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each line: 0.2 if a check failed, 0.97 if all passed, 0.7 if none could be made."""
+    """Each line: 0.2 if a check failed, 0.97 if all passed, 0.7 if none could be made. Lines that share a number share it."""
     worst = checks.where("line_no is not null").groupBy("document_id", "line_no").agg(F.min("passed").alias("ok"))
     return lines.select("document_id", "line_no").join(worst, ["document_id", "line_no"], "left").select("document_id", "line_no", F.when(F.col("ok"), PASSED).when(~F.col("ok"), FAILED).otherwise(0.7).alias("confidence"))
