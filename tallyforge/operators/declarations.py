@@ -24,9 +24,9 @@ def operation_code(operation: Column) -> Column:
 
 
 def operation_of_origin(country: Column) -> Column:
-    """TTN at home, AIC from the union, else IMP; no opinion without a country."""
+    """TTN at home, AIC from the union, else IMP, also without a country."""
     c = F.upper(F.trim(country))
-    return F.when(c == "RO", "TTN").when(c.isin(*EU), "AIC").when(c != "", "IMP")
+    return F.when(c == "RO", "TTN").when(c.isin(*EU), "AIC").otherwise("IMP")
 
 
 def validity_end(operation: Column, start: Column) -> Column:
@@ -128,7 +128,7 @@ def declaration_status(declarations: DataFrame, answers: DataFrame) -> DataFrame
     status = F.when(verdict == "PENDING", F.col("status")).when(waiting, F.when(verdict == "CONFIRMED", "INFIRMED").otherwise("CONFIRMED")).otherwise(verdict)
     uit = F.when(waiting, F.col("uit")).otherwise(F.coalesce("a.code", "uit"))
     end = F.when(~waiting & (verdict == "CONFIRMED"), validity_end(F.col("operation"), F.col("transport_date")))
-    return got.select("declaration_id", status.alias("status"), uit.alias("uit"), end.alias("valid_until"))
+    return got.select("declaration_id", status.alias("status"), uit.alias("uit"), end.alias("valid_to_date"))
 
 
 def purchase_source(documents: DataFrame) -> DataFrame:
