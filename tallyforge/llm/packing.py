@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import MAX_WORDS, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 RESULT = PIECES + ", sequence_id long, offset long"
@@ -50,11 +50,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Documents as pieces of at most `sequence` tokens, with the end id as the last token of each document."""
+def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, max_words: int = MAX_WORDS) -> DataFrame:
+    """Documents as pieces of at most `sequence` tokens, with the end id as the last token of each document. A worker keeps
+    the ids of max_words words."""
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, max_words)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -71,7 +72,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
     """Pieces of all documents with the sequence and the offset that they go to.
 
     Null texts are empty documents of one end id; null and repeated doc_ids are packed row by row; an empty table
@@ -80,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, group_docs:
     long document fills a group.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    pieces = token_pieces(docs, tokenizer, sequence)
+    pieces = token_pieces(docs, tokenizer, sequence, max_words=max_words)
     apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # else equal texts without an id would be one group
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", apart, F.lit(7)), F.lit(groups)))
 

@@ -126,8 +126,9 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and tokenizer file."""
+def encoder(path: str, max_words: int = MAX_WORDS) -> WordEncoder:
+    """One for each worker process and tokenizer file; max_words is that of the last call."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].max_words = max_words
     return _ENCODERS[path]
