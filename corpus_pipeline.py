@@ -37,8 +37,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
-    return packing.pack(docs, tokenizer())
+    """Pieces of all documents with their sequence and offset; workers that did other stages keep fewer words."""
+    return packing.pack(docs, tokenizer(), max_words=350_000)
 
 
 STAGES = [
