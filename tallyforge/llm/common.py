@@ -60,6 +60,20 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def met_by_key(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (a stored table) with the columns of their group; groups has one row a key, nulls included, and the number n of
+    its rows. Keys with over a thousandth of all rows, so fewer than a thousand keys, are sent to all executors, and no
+    task gets the rows of such a key; the other rows meet their group in a shuffle, a key that isn't in groups has nulls.
+    """
+    total = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot, rest = groups.where(F.col("n") * 1000 > total), groups.where(F.col("n") * 1000 <= total)
+    out = [c for c in groups.columns if c not in (*keys, "n")]
+    on = lambda g: [F.col(f"r.{k}").eqNullSafe(F.col(f"{g}.{k}")) for k in keys]
+    found = rows.alias("r").join(F.broadcast(hot.alias("h")), on("h")).select("r.*", *(F.col(f"h.{c}") for c in out))
+    cold = rows.alias("r").join(F.broadcast(hot.select(*keys).alias("h")), on("h"), "left_anti").select("r.*").alias("r")
+    return found.unionByName(cold.join(rest.alias("g").hint("merge"), on("g"), "left").select("r.*", *(F.col(f"g.{c}") for c in out)))
+
+
 def crc32_text(col: str):
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -78,11 +78,17 @@ def op8_tool_calls(spark, sf_dir):
     return link(calls, results, SCHEMAS, messages)
 
 
+def op11_vector_codes(spark, sf_dir):
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    from .tool_calls import ORACLE
+    from . import tool_calls, vector_codes
 
-    return {"op8_tool_calls": ORACLE}
+    return {"op8_tool_calls": tool_calls.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
