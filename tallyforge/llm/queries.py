@@ -84,11 +84,17 @@ def op11_vector_codes(spark, sf_dir):
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_licenses(spark, sf_dir):
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    from . import tool_calls, vector_codes
+    from . import licenses, tool_calls, vector_codes
 
-    return {"op8_tool_calls": tool_calls.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+    return {"op8_tool_calls": tool_calls.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_licenses": licenses.ORACLE}
