@@ -90,11 +90,17 @@ def op12_licenses(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op13_chat_repair(spark, sf_dir):
+    from .chat_repair import damage_and_repair
+
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    from . import licenses, tool_calls, vector_codes
+    from . import chat_repair, licenses, tool_calls, vector_codes
 
-    return {"op8_tool_calls": tool_calls.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_licenses": licenses.ORACLE}
+    return {"op8_tool_calls": tool_calls.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_licenses": licenses.ORACLE, "op13_chat_repair": chat_repair.ORACLE}
