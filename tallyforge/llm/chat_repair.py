@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import met_by_key, stored
+from .common import dropped, met_by_key, stored
 
 #: States: 0 at the start, 1 after s, 2 after u, 3 after a; conversations end in 0 or 3.
 MOVES = {"s": ((0, 1),), "u": ((0, 2), (1, 2), (3, 2)), "a": ((2, 3),)}
@@ -163,24 +163,24 @@ _STATS = "n long, blank long, duplicate long, truncated long, illegal long, firs
 _COUNTS = ("n", "blank", "duplicate", "truncated", "illegal", "turns")
 
 
-def faults(rows: DataFrame) -> DataFrame:
+def faults(rows: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
     """rows with has_word, cut (its last character that isn't blank ends no sentence) and again (an earlier turn of the
     conversation has its role and text). Nulls in role and text count as one space. Rows that are equal even in the turn
     are told apart later, where they lie side by side."""
     filled = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
     last = F.regexp_extract("text", _LAST, 1)
-    known = stored(filled.withColumns({"digest": F.sha2("text", 256), "has_word": F.col("text").rlike(_BLANK), "cut": ~last.isin(".", "!", "?")}), "turns")
+    known = stored(filled.withColumns({"digest": F.sha2("text", 256), "has_word": F.col("text").rlike(_BLANK), "cut": ~last.isin(".", "!", "?")}), "turns", used)
     at = F.struct(F.col("turn").isNotNull(), F.coalesce("turn", F.lit(0)))
-    first = stored(known.groupBy("conv_id", "role", "digest").agg(F.count("*").alias("n"), F.min(at).alias("first_at")).where("n > 1"), "repeats")
+    first = stored(known.groupBy("conv_id", "role", "digest").agg(F.count("*").alias("n"), F.min(at).alias("first_at")).where("n > 1"), "repeats", used)
     met = met_by_key(known, first, ["conv_id", "role", "digest"])
     return met.select("conv_id", "turn", "role", "text", "has_word", "cut", F.coalesce(F.col("first_at") < at, F.lit(False)).alias("again"))
 
 
-def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+def blocks(rows: DataFrame, size: int = BLOCK, used: list[DataFrame] | None = None) -> DataFrame:
     """Runs of up to `size` consecutive turns of one conversation, in the order of turn (nulls first), role and text: their
     turns, cells, counts and what the counts of a neighbour need. `at` orders the blocks of a conversation."""
     order = ["conv_id", "turn", "role"]
-    placed = faults(rows).repartitionByRange(*order, F.substring("text", 1, 32)).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
+    placed = faults(rows, used).repartitionByRange(*order, F.substring("text", 1, 32)).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
 
     def cut(batches):
         number, own, held, before = 0, [], 0, None
@@ -351,7 +351,10 @@ def repair(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     duplicates, and those that share only the turn go by role and text; texts of any length stay whole; other columns are
     dropped; an empty table gives no rows.
     """
-    cut = stored(blocks(rows, size), "blocks")
+    used: list[DataFrame] = []
+    cut = stored(blocks(rows, size, used), "blocks")
+    for df in used:
+        dropped(df)
     planned = stored(plans(cut), "plans")
     whole = planned.where(F.col("cost").isNotNull()).drop("at", "edits", "state")
     sha = digests(cut, planned)

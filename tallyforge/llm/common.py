@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir. Where that is unset, a folder of our own if all
+    executors run in this process, else an error: a local folder of the driver is none that executors share."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_tallyforge_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
@@ -35,9 +39,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, among: list[DataFrame] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, its shuffle files go and Spark knows the true
-    size."""
+    size. The table is added to `among`, so that the caller can drop it."""
     spark = df.sparkSession
     path = scratch(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
@@ -48,6 +52,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if among is not None:
+        among.append(out)
     return out
 
 
@@ -55,9 +61,12 @@ def dropped(df: DataFrame) -> None:
     """Delete a stored() table that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        removed(df.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def met_by_key(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,13 +30,16 @@ def _settled(e: DataFrame) -> bool:
     return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, among: list[DataFrame] | None = None) -> DataFrame:
     """(node, component) for every node of links (a, b): the component is its smallest node. Links may repeat, run
-    either way and name a node with itself; nodes without links are not listed; nulls are ignored."""
+    either way and name a node with itself; nodes without links are not listed; nulls are ignored. The table
+    behind it is added to `among`."""
     now = stored(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not _settled(now):
         new = stored(_star(_star(now, True), False), "links")
         dropped(now)
         now = new
+    if among is not None:
+        among.append(now)
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))

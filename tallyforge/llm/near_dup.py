@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _meetings(keys: DataFrame, comp: DataFrame) -> DataFrame:
+def _meetings(keys: DataFrame, comp: DataFrame, used: list[DataFrame]) -> DataFrame:
     """merged, meet, doc_id, comp, main: who has to meet in large buckets that span components, each once a meeting.
 
     main is a bucket's commonest component. Buckets with one main that each hold a part of 1 / WIDE or more of all
@@ -190,7 +190,7 @@ def _meetings(keys: DataFrame, comp: DataFrame) -> DataFrame:
     placed = keys.join(comp.hint("merge"), keys["doc_id"] == comp["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    opened = stored(placed.join(main.hint("merge"), "key"), "open")
+    opened = stored(placed.join(main.hint("merge"), "key"), "open", used)
     held = opened.select("main", "doc_id").distinct().groupBy("main").agg(F.count("*").alias("all"))
     kinds = opened.groupBy("key").agg(F.first("main").alias("main"), F.first("m").alias("m")).join(held.hint("merge"), "main").select("key", (F.col("m") * WIDE >= F.col("all")).alias("merged"))
     return opened.join(kinds.hint("merge"), "key").select("merged", F.when(F.col("merged"), F.col("main")).otherwise(F.col("key")).alias("meet"), "doc_id", "comp", "main").distinct()
@@ -214,12 +214,12 @@ def _candidates(merged: bool, meet: int, pdf: pd.DataFrame):
             yield i, j
 
 
-def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, used: list[DataFrame]) -> DataFrame:
     """Links in large buckets that span components: each member outside the commonest component against every member
     of the other components. Blocks of the ones meet blocks of the others, never a bucket in one task. Sketches
     tell which members a meeting needs; their texts travel there once, and only links come out."""
     sized = reps.select("doc_id", "sketch", "n_shingles")
-    meetings = stored(_meetings(keys, comp), "meetings")
+    meetings = stored(_meetings(keys, comp, used), "meetings", used)
     members = meetings.join(sized.hint("merge"), "doc_id")
     blocks = lambda few: F.greatest(F.ceil(F.count(F.when(few, 1)) / BLOCK), F.ceil(F.sum(F.when(few, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
     shape = members.groupBy("merged", "meet").agg(blocks(F.col("comp") != F.col("main")).alias("xs"), blocks(F.lit(True)).alias("ys"))
@@ -249,7 +249,7 @@ def _rest(keys: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, wi
                     out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    wanted = stored(base.unionByName(probe).groupBy(*at).applyInPandas(needed, "merged boolean, meet long, x int, y int, probe boolean, doc_id long, comp long"), "wanted")
+    wanted = stored(base.unionByName(probe).groupBy(*at).applyInPandas(needed, "merged boolean, meet long, x int, y int, probe boolean, doc_id long, comp long"), "wanted", used)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = wanted.join(sized.hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id")
     return full.groupBy(*at).applyInPandas(linked, "a long, b long")
@@ -262,27 +262,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     words is one shingle; A-Z in lower case). component_id is the smallest doc_id reachable, kept marks it. Texts
     that are null or have no word have the empty set and link with nothing, as does a null doc_id, whose component
     is null and which is not kept. doc_ids are taken to be distinct; repeated rows come back each, in one component.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read. The result is a written table, all others are dropped.
     """
-    met = stored(sketches(docs, width), "sketches")
+    used: list[DataFrame] = []
+    met = stored(sketches(docs, width), "sketches", used)
     sets = met.where("fp is not null and doc_id is not null")
-    reps = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    reps = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes", used)
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"].alias("pivot")).where("n > 1")
-    inside = stored(keys.join(sizes.hint("merge"), "key"), "buckets")
+    inside = stored(keys.join(sizes.hint("merge"), "key"), "buckets", used)
     centres = inside.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode(F.array("least", "pivot")).alias("c")).where("doc_id <> c")
     stars = centres.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
     few = inside.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     one = few.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
-    likely = stored(_likely(stars.union(one).distinct(), reps), "likely")
-    links = stored(_verified(likely, docs, width, percent), "verified")
-    comp = stored(components(links), "components")
+    likely = stored(_likely(stars.union(one).distinct(), reps), "likely", used)
+    links = stored(_verified(likely, docs, width, percent), "verified", used)
+    comp = stored(components(links, used), "components", used)
     large = inside.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id")
-    more = stored(_rest(large, comp, reps, docs, width, percent), "rest")
+    more = stored(_rest(large, comp, reps, docs, width, percent, used), "rest", used)
     if not more.isEmpty():
-        comp = stored(components(links.union(more)), "components")
-    for df in (inside, likely):
-        dropped(df)
+        comp = stored(components(links.union(more), used), "components", used)
     named = reps.join(comp.hint("merge"), reps["doc_id"] == comp["node"], "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
     out = met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named.hint("merge"), "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    found = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    whole = stored(found, "near-duplicates")
+    for df in used:
+        dropped(df)
+    return whole
