@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, near_dup, packing, quality_rules, secrets
-from tallyforge.llm.common import scratch, table
+from tallyforge.llm.common import removed, scratch, table
 from tallyforge.llm.queries import tokenizer
 
 
@@ -20,7 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies stays; rows without a doc_id all stay."""
+    """The document with the smallest doc_id of each group of near copies, on shingles of five words, stays; rows without a
+    doc_id all stay."""
     found = near_dup.near_duplicates(docs)
     copies = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
@@ -51,12 +52,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written to the shared folder and read again by the next, and go
+    when the next has written its own. What packing reads stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
