@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,21 +37,64 @@ def turnover_gaps(rows: DataFrame, controls: DataFrame) -> DataFrame:
     return met.select("statement_id", "day", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), gap("d", "debit").alias("debit_gap"), gap("c", "credit").alias("credit_gap"))
 
 
+#: A mixed day is only solved up to so many rows and so large a credit turnover.
+MOST_ROWS, MOST_CREDIT = 40, 100_000
+CENT = 0.011
+
+
+def credit_subset(rows: list[int], cents: list[int], target: int) -> list[int] | None:
+    """Rows whose cents sum up to the target, if there are any: of several choices the one whose last row is the earliest,
+    then whose last but one is, and so on. Bit s of a number says whether the rows so far can give the sum s."""
+    sums, mask = [1], (1 << (target + 1)) - 1
+    for c in cents:
+        sums.append((sums[-1] | sums[-1] << c) & mask)
+    if not sums[-1] >> target & 1:
+        return None
+    chosen = []
+    while target:
+        i = next(i for i, s in enumerate(sums) if s >> target & 1) - 1
+        chosen.append(rows[i])
+        target -= cents[i]
+    return chosen[::-1]
+
+
+def _credits():
+    @F.pandas_udf("array<long>")
+    def credits(rows: pd.Series, cents: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([credit_subset(r.tolist(), c.tolist(), int(t)) for r, c, t in zip(rows, cents, target)], dtype=object)
+
+    return credits
+
+
+def day_decisions(rows: DataFrame, controls: DataFrame) -> DataFrame:
+    """What becomes of each day with printed turnovers: all rows are debits where no credit is printed, credits where no
+    debit is; the rows of a complete mixed day that sum up to the credits are `credits`. flagged days stay as they were
+    read: those that aren't complete or have no such rows, and those over MOST_ROWS or MOST_CREDIT, unless the sides as
+    read give the printed turnovers."""
+    at = ["statement_id", "day"]
+    amount = F.abs("debit") + F.abs("credit")
+    sums = rows.groupBy(*at).agg(F.count("*").alias("n"), F.sum(amount).alias("total"), F.sum(F.abs("debit")).alias("d"), F.sum(F.abs("credit")).alias("c"))
+    met = sums.join(controls.where("debit is not null and credit is not null").select(*at, F.col("debit").alias("day_debit"), F.col("credit").alias("day_credit")), at)
+    no = lambda c: F.abs(c) <= CENT
+    complete, small = no(F.col("total") - F.col("day_debit") - F.col("day_credit")), (F.col("n") <= MOST_ROWS) & (F.col("day_credit") <= MOST_CREDIT)
+    kind = F.when(no(F.col("day_credit")), "debit").when(no(F.col("day_debit")), "credit").when(complete & small & (F.col("day_credit") > 0), "mixed").otherwise("kept")
+    days = met.withColumn("kind", kind)
+    mixed = days.where("kind = 'mixed'").select(*at, (F.col("day_credit") * 100).cast("long").alias("target"))
+    own = rows.select(*at, "row_no", (amount * 100).cast("long").alias("cents")).join(mixed, at)
+    listed = own.groupBy(*at, "target").agg(F.array_sort(F.collect_list(F.struct("row_no", "cents"))).alias("own"))
+    solved = listed.select(*at, _credits()(F.col("own.row_no"), F.col("own.cents"), "target").alias("credits"))
+    out = days.join(solved, at, "left")
+    wrong = F.when(F.col("kind") == "debit", ~no(F.col("total") - F.col("day_debit"))).when(F.col("kind") == "credit", ~no(F.col("total") - F.col("day_credit"))).when(F.col("kind") == "mixed", F.col("credits").isNull()).otherwise(~(no(F.col("d") - F.col("day_debit")) & no(F.col("c") - F.col("day_credit"))))
+    return out.select(*at, F.when((F.col("kind") == "mixed") & F.col("credits").isNull(), "kept").otherwise(F.col("kind")).alias("kind"), "credits", wrong.alias("flagged"))
+
+
 def repair_day_directions(rows: DataFrame, controls: DataFrame) -> DataFrame:
-    """Rows of days whose printed turnover has one side only go to that side; other days stay, and are flagged where their
-    turnover isn't the printed one."""
-    printed = controls.select("statement_id", "day", F.col("debit").alias("day_debit"), F.col("credit").alias("day_credit"))
-    met = rows.join(printed, ["statement_id", "day"], "left")
-    amount = (F.abs("debit") + F.abs("credit")).cast(MONEY)
-    only_debit = (F.col("day_credit") == 0) & (F.col("day_debit") > 0)
-    only_credit = (F.col("day_debit") == 0) & (F.col("day_credit") > 0)
-    zero = F.lit(0).cast(MONEY)
-    debit = F.when(only_debit, amount).when(only_credit, zero).otherwise(F.col("debit"))
-    credit = F.when(only_credit, amount).when(only_debit, zero).otherwise(F.col("credit"))
-    fixed = met.withColumns({"debit": debit, "credit": credit})
-    day = Window.partitionBy("statement_id", "day")
-    off = (F.abs(F.sum("debit").over(day) - F.col("day_debit")) > 0.011) | (F.abs(F.sum("credit").over(day) - F.col("day_credit")) > 0.011)
-    return fixed.select("statement_id", "row_no", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"), F.coalesce(off, F.lit(False)).alias("flagged"))
+    """Debit and credit of each row after day_decisions(); days without printed turnovers stay and aren't flagged."""
+    met = rows.join(day_decisions(rows, controls), ["statement_id", "day"], "left")
+    amount, zero = (F.abs("debit") + F.abs("credit")).cast(MONEY), F.lit(0).cast(MONEY)
+    is_credit = F.when(F.col("kind") == "mixed", F.array_contains("credits", F.col("row_no"))).when(F.col("kind").isin("debit", "credit"), F.col("kind") == "credit")
+    side = lambda own, c: F.when(is_credit == own, amount).when(is_credit == (not own), zero).otherwise(F.col(c)).cast("double").alias(c)
+    return met.select("statement_id", "row_no", side(False, "debit"), side(True, "credit"), F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
 def balance_chain(statements: DataFrame, rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, round2
+from ..operators import bank_text
 from ..operators import statements as st
 from ..operators import worklists as wl
 from ..sources import driver_tables as src
@@ -23,6 +24,42 @@ def _controls(rows):
     return days.withColumn("closing", F.sum(F.col("credit") - F.col("debit")).over(w)).withColumn("opening", F.lit(0).cast(MONEY))
 
 
+def _statement_lines(rows):
+    """The lines a bank prints: turnover and closing of each day, among other lines, amounts in one of two ways."""
+    days = _controls(rows)
+    us = lambda c: F.format_number(F.col(c).cast("double"), 2)
+    amount = lambda c: F.when(F.col("statement_id") % 2 == 0, us(c)).otherwise(F.translate(us(c), ",.", ".,"))
+    day, base = F.date_format("day", "dd/MM/yyyy"), F.datediff("day", F.lit("2000-01-01")) * 8
+    texts = [
+        (1, F.concat(F.lit("Plata card "), day, F.lit(" 17.20"))),
+        (2, F.concat_ws(" ", F.lit("RULAJ ZI"), day, amount("debit"), amount("credit"))),
+        (3, F.lit("Sold final zi lipsa")),
+        (4, F.concat_ws("  ", F.lit("Sold Final Zi"), amount("closing"))),
+        (6, F.when(F.dayofmonth("day") == 3, F.concat_ws(" ", F.lit("SOLD FINAL CONT"), amount("closing")))),
+        (7, F.when(F.dayofmonth("day") == 5, F.concat_ws(" ", F.lit("RULAJ TOTAL CONT"), amount("debit"), amount("credit")))),
+    ]
+    lines = F.inline(F.array(*(F.struct((base + k).alias("line_no"), text.alias("text")) for k, text in texts)))
+    start = days.groupBy("statement_id").agg(F.lit(0).alias("line_no")).withColumn("text", F.lit("SOLD ANTERIOR 0.00"))
+    return days.select("statement_id", lines).where("text is not null").unionByName(start)
+
+
+def _read_controls(rows):
+    lines = _statement_lines(rows)
+    return bank_text.with_openings(bank_text.day_controls(lines), bank_text.statement_controls(lines))
+
+
+def printed_days(spark, sf_dir):
+    """Controls of days as the printed lines give them."""
+    got = bank_text.day_controls(_statement_lines(src.bank_rows(spark, sf_dir)))
+    return got.select("statement_id", "day", *(F.col(c).cast("double").alias(c) for c in ("debit", "credit", "closing")))
+
+
+def printed_statements(spark, sf_dir):
+    """Opening, closing and turnovers that the statements print."""
+    got = bank_text.statement_controls(_statement_lines(src.bank_rows(spark, sf_dir)))
+    return got.select("statement_id", *(F.col(c).cast("double").alias(c) for c in ("opening", "closing", "total_debit", "total_credit")))
+
+
 def _printed(spark, sf_dir):
     """Rows with their printed balance, missing on some, and copies of some rows with the same balance."""
     from pyspark.sql import Window
@@ -41,18 +78,18 @@ def _statements(rows):
 
 def running_balance(spark, sf_dir):
     rows = src.bank_rows(spark, sf_dir)
-    return st.running_balance(rows, _controls(rows))
+    return st.running_balance(rows, _read_controls(rows))
 
 
 def turnover_gaps(spark, sf_dir):
     rows = src.bank_rows(spark, sf_dir)
-    return st.turnover_gaps(rows, _controls(rows))
+    return st.turnover_gaps(rows, _read_controls(rows))
 
 
 def day_directions(spark, sf_dir):
-    """Each eleventh row is read on the wrong side."""
+    """Each eleventh row is read on the wrong side, and a cent is missing from the printed debits of some days."""
     rows = src.bank_rows(spark, sf_dir)
-    days = rows.groupBy("statement_id", "day").agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+    days = rows.groupBy("statement_id", "day").agg((F.sum("debit") + F.when(F.dayofmonth("day") == 7, 1).otherwise(0)).alias("debit"), F.sum("credit").alias("credit"))
     wrong = F.col("row_no") % 11 == 0
     read = rows.select("statement_id", "row_no", "day", F.when(wrong, F.col("credit")).otherwise(F.col("debit")).alias("debit"), F.when(wrong, F.col("debit")).otherwise(F.col("credit")).alias("credit"))
     return st.repair_day_directions(read, days)
@@ -208,11 +245,25 @@ def duplicate_documents(spark, sf_dir):
     return wl.duplicate_documents(o.unionByName(again))
 
 
-NAMES = (turnover_gaps, day_directions, balance_chain, chain_endpoints, dedupe_kept, statement_reconciled, segments_valid, merged_segments, partner_numbers, contract_numbers, stuck_uploads, retries_due, processing_durations, export_split, export_manifest, export_periods, due_kpis, stock_kpis, top_empty_fields, token_usage, top_consumers, window_metrics, ledger_page, duplicate_documents, running_balance)
+NAMES = (printed_days, printed_statements, turnover_gaps, day_directions, balance_chain, chain_endpoints, dedupe_kept, statement_reconciled, segments_valid, merged_segments, partner_numbers, contract_numbers, stuck_uploads, retries_due, processing_durations, export_split, export_manifest, export_periods, due_kpis, stock_kpis, top_empty_fields, token_usage, top_consumers, window_metrics, ledger_page, duplicate_documents, running_balance)
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 
+_DIRECTIONS = """, d AS (SELECT statement_id, day, sum(debit) + CASE WHEN day(day) = 7 THEN 1 ELSE 0 END AS dd, sum(credit) AS dc, count(*) AS n, sum(debit + credit) AS total FROM fx_bank GROUP BY statement_id, day),
+r AS (SELECT statement_id, day, row_no, dd, dc, n, total, debit + credit AS amount, CASE WHEN row_no % 11 = 0 THEN credit ELSE debit END AS debit, CASE WHEN row_no % 11 = 0 THEN debit ELSE credit END AS credit FROM fx_bank JOIN d USING (statement_id, day)),
+k AS (SELECT *, CASE WHEN dc <= 0.011 THEN 'debit' WHEN dd <= 0.011 THEN 'credit' WHEN abs(total - dd - dc) <= 0.011 AND n <= 40 AND dc <= 100000 THEN 'mixed' ELSE 'kept' END AS kind FROM r),
+m AS MATERIALIZED (SELECT statement_id, day, row_no, amount, dc, row_number() OVER (PARTITION BY statement_id, day ORDER BY row_no) AS i FROM k WHERE kind = 'mixed' AND amount > 0),
+subsets AS (SELECT statement_id, day, dc, 0::BIGINT AS i, 0::DECIMAL(14,2) AS s, []::BIGINT[] AS ids FROM m WHERE i = 1
+  UNION ALL SELECT b.statement_id, b.day, b.dc, m.i, CAST(b.s + m.amount AS DECIMAL(14,2)), list_prepend(m.row_no, b.ids) FROM subsets b JOIN m ON b.statement_id = m.statement_id AND b.day = m.day AND m.i > b.i AND b.s + m.amount <= b.dc),
+solved AS (SELECT statement_id, day, min(ids) AS credits FROM subsets WHERE s = dc GROUP BY ALL),
+f AS (SELECT k.*, credits, CASE WHEN kind = 'mixed' AND credits IS NULL THEN 'kept' ELSE kind END AS done, sum(debit) OVER w AS sd, sum(credit) OVER w AS sc FROM k LEFT JOIN solved USING (statement_id, day) WINDOW w AS (PARTITION BY statement_id, day))
+SELECT statement_id, row_no, CAST(CASE done WHEN 'debit' THEN amount WHEN 'credit' THEN 0 WHEN 'mixed' THEN CASE WHEN list_contains(credits, row_no) THEN 0 ELSE amount END ELSE debit END AS DOUBLE) AS debit,
+  CAST(CASE done WHEN 'credit' THEN amount WHEN 'debit' THEN 0 WHEN 'mixed' THEN CASE WHEN list_contains(credits, row_no) THEN amount ELSE 0 END ELSE credit END AS DOUBLE) AS credit,
+  CASE kind WHEN 'debit' THEN abs(total - dd) > 0.011 WHEN 'credit' THEN abs(total - dc) > 0.011 WHEN 'mixed' THEN credits IS NULL ELSE abs(sd - dd) > 0.011 OR abs(sc - dc) > 0.011 END AS flagged
+FROM f"""
+
+
 def oracle_sql():
     from .queries import _FX, _JOURNAL
 
@@ -233,9 +284,9 @@ split AS (SELECT document_id, type, document_date, CASE WHEN uploaded_at < DATE
     return {
         "running_balance": f"{_FX}{controls}, starts AS (SELECT statement_id, day, coalesce(lag(closing) OVER (PARTITION BY statement_id ORDER BY day), 0) AS start FROM controls) SELECT statement_id, row_no, CAST(coalesce(start, 0) + sum(credit - debit) OVER (PARTITION BY statement_id, day ORDER BY ts, row_no ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM fx_bank LEFT JOIN starts USING (statement_id, day)",
         "turnover_gaps": f"{_FX}{controls}, s AS (SELECT statement_id, day, sum(debit) AS d, sum(credit) AS c, count(*) AS n_rows FROM fx_bank GROUP BY ALL) SELECT statement_id, day, coalesce(n_rows, 0) AS n_rows, CAST(abs(coalesce(d, 0) - coalesce(debit, 0)) AS DOUBLE) AS debit_gap, CAST(abs(coalesce(c, 0) - coalesce(credit, 0)) AS DOUBLE) AS credit_gap FROM s FULL JOIN controls USING (statement_id, day)",
-        "day_directions": f"""{_FX}, d AS (SELECT statement_id, day, sum(debit) AS dd, sum(credit) AS dc FROM fx_bank GROUP BY ALL),
-f AS (SELECT statement_id, day, row_no, dd, dc, CASE WHEN dc = 0 AND dd > 0 THEN debit + credit WHEN dd = 0 AND dc > 0 THEN 0 WHEN row_no % 11 = 0 THEN credit ELSE debit END AS debit, CASE WHEN dd = 0 AND dc > 0 THEN debit + credit WHEN dc = 0 AND dd > 0 THEN 0 WHEN row_no % 11 = 0 THEN debit ELSE credit END AS credit FROM fx_bank JOIN d USING (statement_id, day))
-SELECT statement_id, row_no, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, abs(sum(debit) OVER w - dd) > 0.011 OR abs(sum(credit) OVER w - dc) > 0.011 AS flagged FROM f WINDOW w AS (PARTITION BY statement_id, day)""",
+        "printed_days": f"{_FX}{controls} SELECT statement_id, day, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, CAST(closing AS DOUBLE) AS closing FROM controls",
+        "printed_statements": f"""{_FX}{controls} SELECT statement_id, 0.0::DOUBLE AS opening, CAST(arg_max(closing, day) FILTER (day(day) = 3) AS DOUBLE) AS closing, CAST(arg_max(debit, day) FILTER (day(day) = 5) AS DOUBLE) AS total_debit, CAST(arg_max(credit, day) FILTER (day(day) = 5) AS DOUBLE) AS total_credit FROM controls GROUP BY statement_id""",
+        "day_directions": _FX.replace("WITH ", "WITH RECURSIVE ", 1) + _DIRECTIONS,
         "balance_chain": f"""{_FX}{printed}{closings}, runs AS (SELECT *, credit - debit AS amount, count(balance) OVER (PARTITION BY statement_id ORDER BY ts, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM printed),
 priors AS (SELECT *, coalesce(last_value(balance IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY ts, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(sum(amount) FILTER (balance IS NULL) OVER (PARTITION BY statement_id, run ORDER BY ts, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM runs),
 flags AS (SELECT *, coalesce(abs(balance - prior) <= 0.02 AND abs(amount) > 0.02, false) AS phantom FROM priors),
