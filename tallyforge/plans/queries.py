@@ -14,11 +14,15 @@ MORE = (account_queries, document_queries, field_queries, line_queries, partner_
 
 
 def _rated(spark, sf_dir):
-    return rates.rates_as_of(src.documents(spark, sf_dir), src.rates(spark, sf_dir))
+    return rates.rates_as_of(src.posting_documents(spark, sf_dir), src.rates(spark, sf_dir))
+
+
+def _balanced(spark, sf_dir):
+    return ledger.balanced_entries(ledger.draft_entries(_rated(spark, sf_dir), src.posting_lines(spark, sf_dir)))
 
 
 def _journal(spark, sf_dir):
-    return ledger.journal(_rated(spark, sf_dir), src.lines(spark, sf_dir))
+    return ledger.journal(_rated(spark, sf_dir), src.posting_lines(spark, sf_dir))
 
 
 def trial_balance(spark, sf_dir):
@@ -35,7 +39,7 @@ def ledger_summary(spark, sf_dir):
 
 def ledger_by_prefix(spark, sf_dir):
     docs = _rated(spark, sf_dir).where("document_date between date'1995-01-01' and date'1996-12-31'")
-    return ledger.balances(ledger.journal(docs, src.lines(spark, sf_dir)).where(F.col("account").startswith("44")), "account", "document_date")
+    return ledger.balances(ledger.journal(docs, src.posting_lines(spark, sf_dir)).where(F.col("account").startswith("44")), "account", "document_date")
 
 
 def line_totals(spark, sf_dir):
@@ -51,7 +55,11 @@ def fx_as_of(spark, sf_dir):
 
 
 def posting_status(spark, sf_dir):
-    return ledger.posting_status(ledger.balanced_entries(ledger.draft_entries(_rated(spark, sf_dir), src.lines(spark, sf_dir))))
+    return ledger.posting_status(_balanced(spark, sf_dir))
+
+
+def posting_messages(spark, sf_dir):
+    return ledger.posting_messages(_balanced(spark, sf_dir))
 
 
 def posting_keys(spark, sf_dir):
@@ -126,7 +134,7 @@ def open_items(spark, sf_dir):
     return met.groupBy("partner_id", "direction").agg(F.sum((F.col("net") + F.col("vat")) * F.col("sign")).cast("double").alias("outstanding"), F.countDistinct("document_id").alias("n_documents"))
 
 
-NAMES = (posting_status, posting_keys, trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
+NAMES = (posting_status, posting_messages, posting_keys, trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
 
 
 def queries():
@@ -164,44 +172,62 @@ _JOURNAL = _FX + f""", published AS (
   SELECT DISTINCT currency, CAST(date_trunc('month', document_date) AS DATE) AS rate_date,
          CASE currency WHEN 'EUR' THEN 4.5::DOUBLE + month(document_date)::DOUBLE / 16 ELSE (1.25::DOUBLE + month(document_date)::DOUBLE / 64) / 100 END AS rate
   FROM fx_documents WHERE currency <> 'RON' AND month(document_date) % 3 = 1
+), stated AS (
+  SELECT d.document_id, d.currency, d.document_date, d.direction, d.review_status, k, k % 10 AS r,
+         CASE WHEN k % 10 = 9 THEN 'Collection Disposition' WHEN k % 10 = 8 THEN 'Payment Disposition' WHEN k % 10 > 5 THEN 'Receipt' WHEN k % 10 = 5 AND partner_id % 4 = 0 THEN 'Contract' ELSE 'Invoice' END AS type,
+         k % 101 = 0 AS unnamed, CAST(floor(o_totalprice * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2)) AS total, k % 11 = 0 AS ahead, k % 4 = 2 AS receipt_of_payment, k % 3 = 0 AS at_bank,
+         CASE WHEN k % 97 = 0 THEN 'cash' WHEN k % 5 = 3 THEN '542' END AS account_code, k % 13 = 0 AS reversed, partner_id % 5 <> 0 AS payer, CASE WHEN k % 10 >= 6 THEN CASE k % 9 WHEN 0 THEN 'incoming' WHEN 1 THEN 'outgoing' END END AS ref_direction
+  FROM (SELECT *, document_id AS k FROM fx_documents) d JOIN orders ON o_orderkey = document_id
 ), rated AS (
-  SELECT d.document_id, d.type, d.direction, d.document_date, CASE d.currency WHEN 'RON' THEN 1.0::DOUBLE ELSE r.rate END AS rate
-  FROM fx_documents d ASOF LEFT JOIN published r ON d.currency = r.currency AND d.document_date >= r.rate_date WHERE d.review_status = 'APPROVED'
-), placed AS (
-  SELECT l.account, l.deductibility, d.*, CAST(l.net AS DOUBLE) AS net, CAST(l.vat AS DOUBLE) AS vat, CAST(sum(l.net) OVER w AS DOUBLE) AS doc_net, CAST(sum(l.vat) OVER w AS DOUBLE) AS doc_vat, count(*) OVER w AS n,
-         row_number() OVER (PARTITION BY l.document_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS i
-  FROM fx_lines l JOIN rated d ON l.document_id = d.document_id WINDOW w AS (PARTITION BY l.document_id)
+  SELECT d.*, CAST(floor(CAST(d.total AS DOUBLE) * 19 / 119 * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2)) AS vat, CASE d.currency WHEN 'RON' THEN 1.0::DOUBLE ELSE p.rate END AS rate
+  FROM stated d ASOF LEFT JOIN published p ON d.currency = p.currency AND d.document_date >= p.rate_date WHERE d.review_status = 'APPROVED'
+), sums AS (SELECT document_id, count(*) AS n, sum(net) AS net, sum(vat) AS vat FROM fx_lines GROUP BY ALL), heads AS (
+  SELECT d.document_id, d.type, d.document_date, d.rate, d.unnamed, d.ahead, d.account_code, d.reversed, d.payer, d.ref_direction, d.direction, coalesce(s.n, 0) AS n,
+         CAST(coalesce(s.net, d.total - d.vat) AS DOUBLE) AS doc_net, CAST(coalesce(s.vat, d.vat) AS DOUBLE) AS doc_vat, CAST(coalesce(s.net + s.vat, d.total) AS DOUBLE) AS total,
+         CASE WHEN at_bank THEN CASE WHEN currency <> 'RON' THEN '5124' ELSE '5121' END ELSE '5311' END AS liquid,
+         type = 'Receipt' AND (receipt_of_payment OR ref_direction IS NOT NULL) AS paid, CASE WHEN type = 'Receipt' AND (receipt_of_payment OR ref_direction IS NOT NULL) THEN coalesce(ref_direction, direction) ELSE direction END AS way
+  FROM rated d LEFT JOIN sums s USING (document_id)
+), body AS (
+  SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS i, CAST(net AS DOUBLE) AS net, CAST(vat AS DOUBLE) AS vat, deductibility, vat_rate,
+         CASE WHEN l_partkey % 20 = 19 THEN '704' WHEN l_partkey % 997 = 0 THEN '37x' WHEN l_partkey % 5 <> 0 THEN account END AS account FROM fx_lines
+  UNION ALL SELECT document_id, 1, doc_net, doc_vat, 'FULL', NULL, CASE type WHEN 'Receipt' THEN account_code END FROM heads WHERE n = 0
 ), taxed AS (
-  SELECT *, CASE WHEN vat <> 0 THEN vat WHEN doc_vat > 0 AND doc_net > 0 THEN doc_vat * net / doc_net ELSE 0.0::DOUBLE END AS line_vat FROM placed
+  SELECT h.*, b.i, b.net, b.vat AS own, b.account, b.vat_rate, b.deductibility, CASE WHEN b.vat <> 0 THEN b.vat WHEN doc_vat > 0 AND doc_net > 0 THEN doc_vat * b.net / doc_net ELSE 0.0::DOUBLE END AS line_vat FROM body b JOIN heads h USING (document_id)
 ), parted AS (
-  SELECT *, CASE deductibility WHEN 'FULL' THEN line_vat WHEN 'PARTIAL_50' THEN line_vat / 2 ELSE 0.0::DOUBLE END AS part FROM taxed
-), deducted AS (
-  SELECT *, CAST(sum(CAST(part AS DECIMAL(18,6))) OVER (PARTITION BY document_id) AS DOUBLE) AS ded FROM parted
-), heads AS (SELECT * FROM deducted WHERE i = 1), signed AS (
-  SELECT document_id, 0 AS idx, CASE WHEN type = 'Receipt' THEN '5311' WHEN direction = 'incoming' THEN '401' ELSE '411' END AS account, CASE WHEN direction = 'incoming' THEN -1 ELSE 1 END * ({_M.format('doc_net + doc_vat')}) AS amount FROM heads WHERE type IN ('Invoice', 'Receipt')
-  UNION ALL SELECT document_id, i, CASE WHEN direction = 'incoming' THEN account ELSE '707' END, CASE WHEN direction = 'incoming' THEN {_M.format('net + line_vat - part')} ELSE -({_M.format('net')}) END FROM deducted WHERE type IN ('Invoice', 'Receipt')
-  UNION ALL SELECT document_id, n + 1, '4426', {_M.format('ded')} FROM heads WHERE type IN ('Invoice', 'Receipt') AND direction = 'incoming' AND ded > 0
-  UNION ALL SELECT document_id, n + 1, '4427', -({_M.format('doc_vat')}) FROM heads WHERE type IN ('Invoice', 'Receipt') AND direction = 'outgoing' AND doc_vat > 0
-  UNION ALL SELECT document_id, 0, CASE WHEN type LIKE 'Pay%' THEN '401' ELSE '5311' END, {_M.format('doc_net + doc_vat')} FROM heads WHERE type LIKE '%Disposition'
-  UNION ALL SELECT document_id, 1, CASE WHEN type LIKE 'Pay%' THEN '5311' ELSE '411' END, -({_M.format('doc_net + doc_vat')}) FROM heads WHERE type LIKE '%Disposition'
-), sided AS (
-  SELECT s.document_id, s.idx, s.account, h.rate, h.type, h.direction, h.document_date, h.doc_net + h.doc_vat AS total, CAST(greatest(amount, 0) AS DECIMAL(14,2)) AS debit, CAST(greatest(-amount, 0) AS DECIMAL(14,2)) AS credit, amount IS NULL AS void
-  FROM signed s JOIN heads h USING (document_id)
-), gaps AS (
-  SELECT *, sum(debit - credit) OVER (PARTITION BY document_id) AS gap, NOT regexp_matches(account, '^(401|404|408|411|4426|4427|462|5121|5124|5311)([.]|$)') AS free FROM sided WHERE void OR debit > 0.004 OR credit > 0.004
+  SELECT *, CASE WHEN NOT payer THEN 0.0::DOUBLE WHEN deductibility = 'FULL' THEN line_vat WHEN deductibility = 'PARTIAL_50' THEN line_vat / 2 ELSE 0.0::DOUBLE END AS part FROM taxed
+), totals AS (
+  SELECT *, CASE WHEN reversed AND payer AND type = 'Invoice' THEN CASE WHEN doc_vat <> 0 THEN doc_vat ELSE doc_net * coalesce(first_rate, 21) / 100 END END AS reverse_vat
+  FROM (SELECT document_id, CAST(sum(CAST(part AS DECIMAL(18,6))) AS DOUBLE) AS ded, arg_min(vat_rate, i) FILTER (vat_rate > 0) AS first_rate, bool_or(account IS NOT NULL AND NOT regexp_full_match(account, '[0-9]{{3,4}}([.][0-9]{{1,10}})?')) AS odd, bool_or(account IS NULL) AS bare FROM parted GROUP BY document_id) JOIN heads USING (document_id)
+), sold AS (SELECT document_id, type IN ('Invoice', 'Receipt') AND NOT paid AS trade FROM heads), signed AS (
+  SELECT document_id, 0 AS idx, CASE WHEN type = 'Receipt' THEN liquid WHEN way = 'incoming' THEN '401' ELSE '411' END AS account, CASE WHEN way = 'incoming' THEN -1 ELSE 1 END * ({_M.format('total')}) AS amount FROM heads JOIN sold USING (document_id) WHERE trade
+  UNION ALL SELECT document_id, i, CASE WHEN way = 'incoming' THEN CASE WHEN ahead THEN '409' ELSE coalesce(account, '628') END WHEN ahead THEN '419' WHEN account[1] IN ('4', '7') THEN account ELSE '707' END,
+    CASE WHEN way = 'incoming' THEN {_M.format('net + line_vat - part')} ELSE -({_M.format('CASE WHEN payer THEN net ELSE net + own END')}) END FROM parted JOIN sold USING (document_id) WHERE trade
+  UNION ALL SELECT document_id, 1000000, '4426', {_M.format('ded')} FROM totals JOIN sold USING (document_id) WHERE trade AND way = 'incoming' AND ded > 0
+  UNION ALL SELECT document_id, 1000001, '4426', {_M.format('reverse_vat')} FROM totals JOIN sold USING (document_id) WHERE trade AND way = 'incoming' AND reverse_vat IS NOT NULL
+  UNION ALL SELECT document_id, 1000002, '4427', -({_M.format('reverse_vat')}) FROM totals JOIN sold USING (document_id) WHERE trade AND way = 'incoming' AND reverse_vat IS NOT NULL
+  UNION ALL SELECT document_id, 1000003, '4427', -({_M.format('doc_vat')}) FROM heads JOIN sold USING (document_id) WHERE trade AND way = 'outgoing' AND payer AND doc_vat > 0
+  UNION ALL SELECT document_id, k, CASE WHEN way = 'incoming' THEN CASE k WHEN 0 THEN '401' ELSE liquid END ELSE CASE k WHEN 0 THEN liquid ELSE '411' END END, (1 - 2 * k) * ({_M.format('total')}) FROM heads, (SELECT unnest([0, 1]) AS k) WHERE paid
+  UNION ALL SELECT document_id, i, coalesce(account, '371'), {_M.format('net + own')} FROM parted WHERE type = 'Contract'
+  UNION ALL SELECT document_id, 1000000, '462', -({_M.format('total')}) FROM heads WHERE type = 'Contract'
+  UNION ALL SELECT document_id, k, CASE WHEN (type LIKE 'Pay%') = (k = 1) THEN '5311' ELSE CASE WHEN ref_direction IS NOT NULL THEN CASE WHEN type LIKE 'Pay%' THEN '401' ELSE '411' END ELSE coalesce(account_code, CASE WHEN type LIKE 'Pay%' THEN CASE WHEN ahead THEN '409' ELSE '401' END ELSE CASE WHEN ahead THEN '419' ELSE '411' END END) END END, (1 - 2 * k) * ({_M.format('total')}) FROM heads, (SELECT unnest([0, 1]) AS k) WHERE type LIKE '%Disposition'
+), sided AS (SELECT document_id, idx, account, CAST(amount AS DECIMAL(14,2)) AS amount FROM signed), gaps AS (
+  SELECT *, sum(amount) OVER (PARTITION BY document_id) AS gap, NOT regexp_matches(account, '^(401|404|408|411|4426|4427|462|5121|5124|5311)([.]|$)') AS free FROM sided WHERE amount IS NULL OR amount <> 0
 ), sought AS (
-  SELECT *, CASE WHEN abs(gap) <= 0.05 THEN gap ELSE 0 END AS diff, CASE WHEN gap > 0 THEN debit ELSE credit END AS large, CASE WHEN gap > 0 THEN credit ELSE debit END AS small FROM gaps
+  SELECT *, CASE WHEN abs(gap) <= 0.05 THEN gap ELSE 0 END AS diff, amount * CASE WHEN gap > 0 THEN 1 ELSE -1 END AS s FROM gaps
 ), found AS (
-  SELECT *, max(idx) FILTER (free AND large >= abs(diff)) OVER (PARTITION BY document_id) AS take, max(idx) FILTER (free AND small > 0) OVER (PARTITION BY document_id) AS give FROM sought
-), evened AS (
-  SELECT document_id, document_date, type, direction, idx, account, void, total, gap - CASE WHEN coalesce(take, give) IS NULL THEN 0 ELSE diff END AS rest,
-         debit + CASE WHEN diff > 0 AND idx = take THEN -diff WHEN diff < 0 AND take IS NULL AND idx = give THEN -diff ELSE 0 END AS debit,
-         credit + CASE WHEN diff < 0 AND idx = take THEN diff WHEN diff > 0 AND take IS NULL AND idx = give THEN diff ELSE 0 END AS credit FROM found
-), judged AS (
-  SELECT *, CASE WHEN void THEN 'no rate' WHEN total <= 0 THEN 'no total' WHEN abs(rest) > 0.01 THEN 'unbalanced' END AS error FROM evened
+  SELECT *, coalesce(max(idx) FILTER (free AND s >= abs(diff)) OVER (PARTITION BY document_id), max(idx) FILTER (free AND s < 0) OVER (PARTITION BY document_id)) AS borne FROM sought
+), evened AS (SELECT document_id, idx, account, gap - CASE WHEN borne IS NULL THEN 0 ELSE diff END AS rest, amount - CASE WHEN idx = borne THEN diff ELSE 0 END AS amount FROM found),
+rests AS (SELECT document_id, any_value(rest) AS rest FROM evened GROUP BY document_id), judged AS (
+  SELECT t.*, CASE WHEN total <= 0 THEN 'no total' END AS e1, CASE WHEN type IN ('Invoice', 'Contract') AND unnamed THEN 'no number' END AS e2, CASE WHEN trade AND n = 0 THEN 'no lines' END AS e3, CASE WHEN type = 'Contract' AND direction <> 'incoming' THEN 'not a purchase' END AS e4,
+         CASE WHEN odd OR type LIKE '%Disposition' AND account_code = 'cash' THEN 'bad account' END AS e5, CASE WHEN rate IS NULL THEN 'no rate' END AS l1, CASE WHEN abs(rest) > 0.01 THEN 'unbalanced' END AS l2
+  FROM totals t JOIN sold USING (document_id) LEFT JOIN rests USING (document_id)
+), judgement AS (
+  SELECT *, CASE WHEN coalesce(e1, e2, e3, e4, e5) IS NULL THEN list_filter([l1, l2], lambda x: x IS NOT NULL) ELSE list_filter([e1, e2, e3, e4, e5], lambda x: x IS NOT NULL) END AS errors,
+         list_filter([CASE WHEN paid AND ref_direction IS NULL THEN 'payment without its invoice' END, CASE WHEN n > 0 AND bare THEN 'lines without account' END], lambda x: x IS NOT NULL) AS warnings FROM judged
 ), journal AS (
-  SELECT document_id, document_date, account, debit, credit, 'DOC:' || document_id || ':' || CASE type WHEN 'Invoice' THEN CASE direction WHEN 'incoming' THEN 'INVOICE_IN' ELSE 'INVOICE_OUT' END WHEN 'Receipt' THEN 'RECEIPT' ELSE upper(replace(type, ' ', '_')) END
-         || ':' || document_date || ':' || (row_number() OVER (PARTITION BY document_id ORDER BY idx) - 1) AS posting_key FROM judged WHERE error IS NULL
+  SELECT document_id, document_date, account, CAST(greatest(amount, 0) AS DECIMAL(14,2)) AS debit, CAST(greatest(-amount, 0) AS DECIMAL(14,2)) AS credit,
+         'DOC:' || document_id || ':' || CASE WHEN type = 'Contract' THEN 'CONTRACT_PURCHASE' WHEN type IN ('Invoice', 'Receipt') THEN upper(type) || CASE way WHEN 'incoming' THEN '_IN' ELSE '_OUT' END ELSE upper(replace(type, ' ', '_')) END
+         || ':' || document_date || ':' || (row_number() OVER (PARTITION BY document_id ORDER BY idx) - 1) AS posting_key FROM evened JOIN judgement USING (document_id) WHERE len(errors) = 0
 )"""
 _SUMS = "CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit, CAST(sum(debit) - sum(credit) AS DOUBLE) AS balance, count(*) AS n_entries FROM journal"
 _COSTS = """, costs AS (
@@ -222,7 +248,8 @@ def oracle_sql():
 def _own_sql():
     weights = " + ".join(f"CAST(substr(lpad(left(tax_id, length(tax_id) - 1), 9, '0'), {i + 1}, 1) AS INTEGER) * {w}" for i, w in enumerate(money.TAX_ID_WEIGHTS))
     return {
-        "posting_status": f"{_JOURNAL} SELECT document_id, CASE WHEN max(error) IS NULL THEN 'POSTED' ELSE 'ERROR' END AS status, max(error) AS error, count(*) AS n_entries FROM judged GROUP BY document_id",
+        "posting_status": f"{_JOURNAL}, made AS (SELECT document_id, count(*) AS c FROM journal GROUP BY ALL) SELECT document_id, CASE WHEN len(errors) > 0 THEN 'ERROR' WHEN c > 0 THEN 'POSTED' ELSE 'NONE' END AS status, errors[1] AS error, coalesce(c, 0) AS n_entries FROM judgement LEFT JOIN made USING (document_id)",
+        "posting_messages": f"{_JOURNAL} SELECT DISTINCT document_id, 'error' AS kind, unnest(errors) AS message FROM judgement UNION ALL SELECT document_id, 'warning', unnest(warnings) FROM judgement",
         "posting_keys": f"{_JOURNAL} SELECT posting_key, account, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM journal",
         "trial_balance": f"{_JOURNAL} SELECT account, {_SUMS} GROUP BY account",
         "journal_totals": f"{_JOURNAL} SELECT document_id, {_SUMS} GROUP BY document_id",
