@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.worklists import window_metrics
+from .ledger_store import LedgerStore
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_each: int = 8) -> DataFrame:
@@ -23,24 +27,15 @@ def write_metrics(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return window_metrics(events).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
 
 
-def rewrite_documents(stream: DataFrame, entries_of, path: str, checkpoint: str) -> StreamingQuery:
-    """Entries of newly approved documents, one partition for each document month that a batch rewrites: what the table
-    has for the batch's documents is replaced, so a batch that runs again changes nothing."""
+def rewrite_documents(stream: DataFrame, rows_of: Callable[[DataFrame], dict[str, DataFrame]], store: LedgerStore, checkpoint: str, name: str = "documents", order: str | None = None) -> StreamingQuery:
+    """Each batch of documents is posted exactly once: rows_of gives their rows for each table of the store, and these
+    replace all that the store has for the batch's documents, in whatever month it was. Of several versions of a document
+    in one batch the one with the largest `order` counts; a later batch wins over an earlier one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = entries_of(batch)
-        try:
-            old = spark.read.parquet(path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            new.write.partitionBy("month").parquet(path)
-            return
-        touched = batch.select("month").distinct()
-        kept = old.join(touched, "month", "left_semi").join(batch.select("document_id"), "document_id", "left_anti")
-        staged = f"{path}-staged/{batch_id}"
-        kept.unionByName(new).write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+        one = batch
+        if order is not None:
+            one = batch.groupBy("document_id").agg(F.max_by(F.struct(*batch.columns), order).alias("d")).select("d.*")
+        store.replace(one, rows_of(one), (name, batch_id))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
