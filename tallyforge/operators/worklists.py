@@ -1,15 +1,10 @@
-"""Numbers, segments, queues, exports, duplicates and reports over documents."""
+"""Numbers, segments, queues, exports and reports over documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scores of equal fields in thousandths: number (invoice, other), amount, near amount, date, near date, partner, currency,
-#: several of them in an invoice; and the least scores of the bands (fixed values).
-NUMBER, AMOUNT, NEAR_AMOUNT, DATE, NEAR_DATE, PARTNER, CURRENCY, SEVERAL = (500, 400), 300, 150, 150, 50, 150, 50, 100
-BANDS = (("high", 850), ("medium", 700), ("low", 600))
-
 
 def next_numbers(new: DataFrame, known: DataFrame, by: list[str], order: str, prefix: str) -> DataFrame:
     """Consecutive numbers of five digits for new rows, after the largest known one of each group: gap-free within it."""
@@ -119,33 +114,6 @@ def ledger_page(entries: DataFrame, page: int, size: int) -> DataFrame:
     return entries.orderBy(F.desc("document_date"), F.desc("posting_key")).offset((page - 1) * size).limit(size)
 
 
-def duplicate_documents(documents: DataFrame) -> DataFrame:
-    """Pairs of documents of one type that score in a band. Documents equal in all compared fields are one class first,
-    named by its smallest document; candidates share the number, amount and date, or partner and amount."""
-    fields = ["type", "number", "cents", "document_date", "partner_id", "currency"]
-    classes = documents.groupBy(*fields).agg(F.min("document_id").alias("document_id"), F.count("*").alias("copies"))
-    keys = (["type", "number"], ["type", "cents", "document_date"], ["type", "partner_id", "cents"])
-    pairs = None
-    for key in keys:
-        known = classes.dropna(subset=key)
-        many = known.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        side = lambda x: known.join(many, key, "left_semi").select(*key, F.col("document_id").alias(x))  # noqa: B023, E731
-        got = side("a").join(side("b"), key).where("a < b").select("a", "b")
-        pairs = got if pairs is None else pairs.union(got)
-    side = lambda x: classes.select(F.col("document_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in (*fields, "copies")))
-    met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
-    points = lambda ok, n: F.when(ok, n).otherwise(0)
-    invoice, apart = F.col("a_type") == "Invoice", F.abs(F.col("a_cents") - F.col("b_cents"))
-    near_date = ~same("document_date") & ~invoice & F.coalesce(F.abs(F.datediff("a_document_date", "b_document_date")) <= 7, F.lit(False))
-    partner = same("partner_id") & F.col("a_type").isin("Invoice", "Receipt")
-    exact = points(same("number"), 1) + points(same("cents"), 1) + points(same("document_date"), 1) + points(partner, 1) + points(same("currency"), 1)
-    score = F.when(same("number"), F.when(invoice, NUMBER[0]).otherwise(NUMBER[1])).otherwise(0) + F.when(same("cents"), AMOUNT).when(apart < 100, NEAR_AMOUNT).otherwise(0) + F.when(same("document_date"), DATE).when(near_date, NEAR_DATE).otherwise(0) + points(partner, PARTNER) + points(same("currency"), CURRENCY) + points(invoice & (exact >= 3), SEVERAL)
-    score = F.least(score, F.lit(1000))
-    band = F.when(score >= BANDS[0][1], BANDS[0][0]).when(score >= BANDS[1][1], BANDS[1][0]).otherwise(BANDS[2][0])
-    return met.withColumn("score", score).where(F.col("score") >= BANDS[-1][1]).select("a", "b", (F.col("score") / 1000).alias("score"), band.alias("band"), F.col("a_copies").alias("a_copies"), F.col("b_copies").alias("b_copies"))
-
-
 def window_metrics(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Events, successes and the longest duration by phase, type and tumbling window of event time; over a stream, events
     later than `late` are dropped."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, round2
 from ..operators import bank_text
+from ..operators import duplicates as dup
 from ..operators import statements as st
 from ..operators import worklists as wl
 from ..sources import driver_tables as src
@@ -236,13 +237,23 @@ def ledger_page(spark, sf_dir):
 
 
 def duplicate_documents(spark, sf_dir):
-    """Orders as documents, each fiftieth entered again with a change."""
+    """Orders as documents, some entered again: the amount 0.50 off, three days later, without the number, without number
+    and partner but with a similar name, or of another number 0.50 off."""
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     o = src.documents(spark, sf_dir).select("document_id", "type", "currency", "partner_id").join(table(spark, sf_dir, "orders").select(k.alias("document_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), day.alias("document_date")), "document_id")
-    o = o.withColumn("number", F.concat_ws("-", "partner_id", "document_id"))
-    kind = F.expr("document_id div 50 % 4")
-    again = o.where("document_id % 50 = 0").select((F.col("document_id") + 10**8).alias("document_id"), "type", "currency", "partner_id", (F.col("cents") + F.when(kind == 1, 50).otherwise(0)).alias("cents"), F.date_add("document_date", F.when(kind == 2, 3).otherwise(0)).alias("document_date"), F.when(kind == 3, F.lit(None)).otherwise(F.col("number")).alias("number"))
-    return wl.duplicate_documents(o.unionByName(again))
+    word = lambda letter, n: F.concat(F.lit(letter), (F.col("partner_id") % n).cast("string"))
+    o = o.withColumns({"number": F.concat_ws("-", "partner_id", "document_id"), "name": F.concat_ws(" ", word("NORD", 5), word("SUD", 7), word("EST", 11))})
+    kind = F.expr("document_id div 37 % 5")
+    changed = {
+        "document_id": F.col("document_id") + 10**8,
+        "cents": F.col("cents") + F.when(kind.isin(1, 4), 50).otherwise(0),
+        "document_date": F.date_add("document_date", F.when(kind == 2, 3).otherwise(0)),
+        "number": F.when(kind < 3, F.col("number")).when(kind == 4, F.concat("number", F.lit("B"))),
+        "partner_id": F.when((kind != 3) | (F.col("document_id") % 2 == 0), F.col("partner_id")),
+        "name": F.when(kind == 3, F.concat("name", F.lit(" GRUP"))).otherwise(F.col("name")),
+    }
+    again = o.where("document_id % 37 = 0").select(*(changed.get(c, F.col(c)).alias(c) for c in o.columns))
+    return dup.duplicate_documents(o.unionByName(again))
 
 
 NAMES = (printed_days, printed_statements, turnover_gaps, day_directions, balance_chain, chain_endpoints, dedupe_kept, statement_reconciled, segments_valid, merged_segments, partner_numbers, contract_numbers, stuck_uploads, retries_due, processing_durations, export_split, export_manifest, export_periods, due_kpis, stock_kpis, top_empty_fields, token_usage, top_consumers, window_metrics, ledger_page, duplicate_documents, running_balance)
@@ -314,12 +325,13 @@ SELECT file_id, min(start_page) AS start_page, max(end_page) AS end_page, coales
         "top_consumers": f"{usage} {top('function', 10)} UNION ALL {top('phase', 5)} UNION ALL {top('document_id', 5)}",
         "window_metrics": f"{metrics} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, phase, document_type, count(*) AS n, count(*) FILTER (success) AS n_success, CAST(max(duration) AS DOUBLE) AS longest FROM m GROUP BY ALL",
         "ledger_page": f"{_JOURNAL} SELECT document_date, posting_key, account, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit FROM journal ORDER BY document_date DESC, posting_key DESC LIMIT 200 OFFSET 400",
-        "duplicate_documents": f"""{_FX}, o AS (SELECT document_id, type, currency, partner_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, document_date, partner_id || '-' || document_id AS number FROM fx_documents JOIN orders ON o_orderkey = document_id),
-every AS (SELECT * FROM o UNION ALL SELECT document_id + 100000000, type, currency, partner_id, cents + CASE document_id // 50 % 4 WHEN 1 THEN 50 ELSE 0 END, document_date + CASE document_id // 50 % 4 WHEN 2 THEN 3 ELSE 0 END, CASE WHEN document_id // 50 % 4 <> 3 THEN number END FROM o WHERE document_id % 50 = 0),
-c AS (SELECT type, number, cents, document_date, partner_id, currency, min(document_id) AS id, count(*) AS copies FROM every GROUP BY ALL),
-p AS (SELECT a.id AS a, b.id AS b, a.type, a.copies AS a_copies, b.copies AS b_copies, coalesce(a.number = b.number, false) AS sn, a.cents = b.cents AS sc, abs(a.cents - b.cents) < 100 AS nc, a.document_date = b.document_date AS sd, abs(a.document_date - b.document_date) <= 7 AS nd, a.partner_id = b.partner_id AND a.type IN ('Invoice', 'Receipt') AS sp, a.currency = b.currency AS su
-  FROM c a JOIN c b ON a.type = b.type AND a.cents BETWEEN b.cents - 50 AND b.cents + 50 AND a.id < b.id WHERE a.number = b.number OR (a.cents = b.cents AND (a.document_date = b.document_date OR a.partner_id = b.partner_id))),
-s AS (SELECT *, least(1000, CASE WHEN sn THEN CASE type WHEN 'Invoice' THEN 500 ELSE 400 END ELSE 0 END + CASE WHEN sc THEN 300 WHEN nc THEN 150 ELSE 0 END + CASE WHEN sd THEN 150 WHEN type <> 'Invoice' AND nd THEN 50 ELSE 0 END + CASE WHEN sp THEN 150 ELSE 0 END + CASE WHEN su THEN 50 ELSE 0 END
-  + CASE WHEN type = 'Invoice' AND sn::INT + sc::INT + sd::INT + sp::INT + su::INT >= 3 THEN 100 ELSE 0 END) AS points FROM p)
+        "duplicate_documents": f"""{_FX}, o AS (SELECT document_id, type, currency, partner_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, document_date, partner_id || '-' || document_id AS number, 'NORD' || partner_id % 5 || ' SUD' || partner_id % 7 || ' EST' || partner_id % 11 AS name, document_id // 37 % 5 AS kind FROM fx_documents JOIN orders ON o_orderkey = document_id),
+every AS (SELECT * FROM o UNION ALL SELECT document_id + 100000000, type, currency, CASE WHEN kind <> 3 OR document_id % 2 = 0 THEN partner_id END, cents + CASE WHEN kind IN (1, 4) THEN 50 ELSE 0 END, document_date + CASE kind WHEN 2 THEN 3 ELSE 0 END, CASE WHEN kind < 3 THEN number WHEN kind = 4 THEN number || 'B' END, name || CASE kind WHEN 3 THEN ' GRUP' ELSE '' END, kind FROM o WHERE document_id % 37 = 0),
+c AS (SELECT type, number, cents, document_date, partner_id, currency, name, min(document_id) AS id, count(*) AS copies FROM every GROUP BY ALL),
+met AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.type = b.type AND a.number = b.number AND a.id < b.id UNION SELECT a.id, b.id FROM c a JOIN c b ON a.type = b.type AND a.cents = b.cents AND a.id < b.id UNION SELECT a.id, b.id FROM c a JOIN c b ON a.type = b.type AND a.partner_id = b.partner_id AND a.document_date = b.document_date AND a.id < b.id),
+p AS (SELECT a.id AS a, b.id AS b, a.type, a.copies AS a_copies, b.copies AS b_copies, coalesce(a.number = b.number, false) AS sn, a.cents = b.cents AS sc, abs(a.cents - b.cents) < 100 AS nc, a.document_date = b.document_date AS sd, abs(a.document_date - b.document_date) <= 7 AS nd, coalesce(a.partner_id = b.partner_id, false) AND a.type IN ('Invoice', 'Receipt') AS sp,
+  a.type IN ('Invoice', 'Receipt') AND (contains(a.name, b.name) OR contains(b.name, a.name) OR len(list_intersect(string_split(a.name, ' '), string_split(b.name, ' '))) >= 2 AND len(list_intersect(string_split(a.name, ' '), string_split(b.name, ' '))) * 10 >= 6 * least(len(string_split(a.name, ' ')), len(string_split(b.name, ' ')))) AS sm, a.currency = b.currency AS su FROM met JOIN c a ON a.id = met.a JOIN c b ON b.id = met.b),
+s AS (SELECT *, least(1000, CASE WHEN sn THEN CASE type WHEN 'Invoice' THEN 500 ELSE 400 END ELSE 0 END + CASE WHEN sc THEN 300 WHEN nc THEN 150 ELSE 0 END + CASE WHEN sd THEN 150 WHEN type <> 'Invoice' AND nd THEN 50 ELSE 0 END + CASE WHEN sp THEN 150 WHEN sm THEN 105 ELSE 0 END + CASE WHEN su THEN 50 ELSE 0 END
+  + CASE WHEN type = 'Invoice' AND sn::INT + sc::INT + sd::INT + (sp OR sm)::INT + su::INT >= 3 THEN 100 ELSE 0 END) AS points FROM p)
 SELECT a, b, points / 1000.0::DOUBLE AS score, CASE WHEN points >= 850 THEN 'high' WHEN points >= 700 THEN 'medium' ELSE 'low' END AS band, a_copies, b_copies FROM s WHERE points >= 600""",
     }

@@ -1,8 +1,12 @@
-"""Small things that a file system under Spark does: list, read, write, rename and delete."""
+"""Small things that a file system under Spark does: list, read, write, rename and delete; tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Folders:
@@ -41,3 +45,22 @@ class Folders:
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where all executors run in this process."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(spark.sparkContext, "_tallyforge_tables"):
+        spark.sparkContext._tallyforge_tables = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+    return spark.sparkContext._tallyforge_tables
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read several times or whose size Spark should know."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
