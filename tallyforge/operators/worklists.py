@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import positions
+
 
 def next_numbers(new: DataFrame, known: DataFrame, by: list[str], order: str, prefix: str) -> DataFrame:
-    """Consecutive numbers of five digits for new rows, after the largest known one of each group: gap-free within it."""
+    """Consecutive numbers of five digits for new rows, after the largest known one of each group: gap-free within it. A
+    group's rows are dealt by the order, so no task holds a whole group."""
     last = known.groupBy(*by).agg(F.max(F.col("number").try_cast("long")).alias("last"))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    met = new.withColumn("at", at).join(last, by, "left")
+    met = positions(new.select(*by, order), by, [order], "at").join(last.hint("merge"), by, "left")
     return met.select(*by, order, F.concat(F.lit(prefix), F.lpad((F.coalesce("last", F.lit(0)) + F.col("at")).cast("string"), 5, "0")).alias("number"))
 
 
