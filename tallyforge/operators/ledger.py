@@ -212,5 +212,7 @@ def line_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("document_id").agg(total("net").alias("net"), total("vat").alias("vat"), total(F.col("net") + F.col("vat")).alias("total"), F.count("*").alias("n_lines"))
 
 
-def vat_breakdown(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("vat_rate", "deductibility").agg(F.sum("net").cast("double").alias("net"), F.sum("vat").cast("double").alias("vat"), F.sum(non_deductible(F.col("vat"), F.col("deductibility"))).cast("double").alias("non_deductible"))
+def vat_breakdown(lines: DataFrame, documents: DataFrame) -> DataFrame:
+    """Net, VAT and what of it can't be deducted by rate and deductibility, in each currency."""
+    met = lines.join(documents.select("document_id", "currency").hint("merge"), "document_id")
+    return met.groupBy("currency", "vat_rate", "deductibility").agg(F.sum("net").cast("double").alias("net"), F.sum("vat").cast("double").alias("vat"), F.sum(non_deductible(F.col("vat"), F.col("deductibility"))).cast("double").alias("non_deductible"))

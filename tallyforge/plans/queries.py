@@ -47,7 +47,7 @@ def line_totals(spark, sf_dir):
 
 
 def vat_breakdown(spark, sf_dir):
-    return ledger.vat_breakdown(src.lines(spark, sf_dir))
+    return ledger.vat_breakdown(src.lines(spark, sf_dir), src.documents(spark, sf_dir))
 
 
 def fx_as_of(spark, sf_dir):
@@ -84,14 +84,18 @@ def dedupe_transactions(spark, sf_dir):
     return bank.first_of_repeated(src.bank_rows(spark, sf_dir))
 
 
+def _vehicle_costs(spark, sf_dir):
+    return stock.vehicle_costs(rates.rates_as_of(src.documents(spark, sf_dir), src.rates(spark, sf_dir)), src.lines(spark, sf_dir))
+
+
 def vehicle_costs(spark, sf_dir):
-    return stock.vehicle_costs(src.documents(spark, sf_dir), src.lines(spark, sf_dir)).withColumn("amount", F.col("amount").cast("double"))
+    return _vehicle_costs(spark, sf_dir).withColumn("amount", F.col("amount").cast("double"))
 
 
 def landed_cost(spark, sf_dir):
     price = money.round2(F.col("p_retailprice"))
     vehicles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vehicle_id"), price.alias("price"), (price * 2).alias("sold_price"))
-    return stock.landed_cost(vehicles, stock.vehicle_costs(src.documents(spark, sf_dir), src.lines(spark, sf_dir)))
+    return stock.landed_cost(vehicles, _vehicle_costs(spark, sf_dir))
 
 
 def in_transit_without_code(spark, sf_dir):
@@ -128,10 +132,10 @@ def text_quality(spark, sf_dir):
 
 
 def open_items(spark, sf_dir):
-    """Outstanding amount by partner and direction: invoices less dispositions of the same partner."""
-    docs = src.documents(spark, sf_dir).where("type <> 'Receipt'").select("document_id", "partner_id", "direction", F.when(F.col("type") == "Invoice", 1).otherwise(-1).alias("sign"))
+    """Outstanding amount by partner, direction and currency: invoices less dispositions of the same partner."""
+    docs = src.documents(spark, sf_dir).where("type <> 'Receipt'").select("document_id", "partner_id", "direction", "currency", F.when(F.col("type") == "Invoice", 1).otherwise(-1).alias("sign"))
     met = src.lines(spark, sf_dir).join(docs, "document_id")
-    return met.groupBy("partner_id", "direction").agg(F.sum((F.col("net") + F.col("vat")) * F.col("sign")).cast("double").alias("outstanding"), F.countDistinct("document_id").alias("n_documents"))
+    return met.groupBy("partner_id", "direction", "currency").agg(F.sum((F.col("net") + F.col("vat")) * F.col("sign")).cast("double").alias("outstanding"), F.countDistinct("document_id").alias("n_documents"))
 
 
 NAMES = (posting_status, posting_messages, posting_keys, trial_balance, journal_totals, ledger_summary, ledger_by_prefix, line_totals, vat_breakdown, fx_as_of, day_turnover, statement_summary, statement_gap, dedupe_transactions, vehicle_costs, landed_cost, in_transit_without_code, document_kpis, metrics_report, hash_duplicates, check_tax_id, partner_keys, text_quality, open_items)
@@ -230,10 +234,18 @@ rests AS (SELECT document_id, any_value(rest) AS rest FROM evened GROUP BY docum
          || ':' || document_date || ':' || (row_number() OVER (PARTITION BY document_id ORDER BY idx) - 1) AS posting_key FROM evened JOIN judgement USING (document_id) WHERE len(errors) = 0
 )"""
 _SUMS = "CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit, CAST(sum(debit) - sum(credit) AS DOUBLE) AS balance, count(*) AS n_entries FROM journal"
-_COSTS = """, costs AS (
-  SELECT vehicle_id, CASE account WHEN '624' THEN 'TRANSPORT' WHEN '6022' THEN 'FUEL' ELSE 'OTHER' END AS category, sum(net + cost) AS amount
-  FROM fx_lines WHERE account <> '371' AND document_id IN (SELECT document_id FROM fx_documents WHERE direction = 'incoming' AND type IN ('Invoice', 'Receipt'))
-  GROUP BY ALL HAVING abs(sum(net + cost)) >= 0.004
+_COSTS = """, costs_published AS (
+  SELECT DISTINCT currency, CAST(date_trunc('month', document_date) AS DATE) AS rate_date,
+         CASE currency WHEN 'EUR' THEN 4.5::DOUBLE + month(document_date)::DOUBLE / 16 ELSE (1.25::DOUBLE + month(document_date)::DOUBLE / 64) / 100 END AS rate
+  FROM fx_documents WHERE currency <> 'RON' AND month(document_date) % 3 = 1
+), costs_rated AS (
+  SELECT document_id, CASE d.currency WHEN 'RON' THEN 1.0::DOUBLE ELSE p.rate END AS rate FROM fx_documents d ASOF LEFT JOIN costs_published p ON d.currency = p.currency AND d.document_date >= p.rate_date
+  WHERE d.direction = 'incoming' AND d.type IN ('Invoice', 'Receipt')
+), costs AS (
+  SELECT vehicle_id, category, coalesce(sum(ron), 0) AS amount, count(*) FILTER (ron IS NULL) AS n_unrated FROM (
+    SELECT vehicle_id, CASE account WHEN '624' THEN 'TRANSPORT' WHEN '6022' THEN 'FUEL' ELSE 'OTHER' END AS category, CAST(floor((CAST(net + cost AS DOUBLE) * rate + 2.220446049250313e-16::DOUBLE) * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2)) AS ron
+    FROM fx_lines JOIN costs_rated USING (document_id) WHERE account <> '371')
+  GROUP BY ALL HAVING abs(coalesce(sum(ron), 0)) >= 0.004 OR count(*) FILTER (ron IS NULL) > 0
 )"""
 _TAX = "regexp_replace(regexp_replace(upper(trim(raw)), '^RO', ''), '[^A-Z0-9]', '', 'g')"
 
@@ -256,7 +268,7 @@ def _own_sql():
         "ledger_summary": f"{_JOURNAL} SELECT account, strftime(document_date, '%Y-%m') AS month, {_SUMS} GROUP BY ALL",
         "ledger_by_prefix": f"{_JOURNAL} SELECT account, document_date, {_SUMS} WHERE account LIKE '44%' AND document_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY ALL",
         "line_totals": f"{_FX} SELECT document_id, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(vat) AS DOUBLE) AS vat, CAST(sum(net + vat) AS DOUBLE) AS total, count(*) AS n_lines FROM fx_lines GROUP BY document_id",
-        "vat_breakdown": f"{_FX} SELECT vat_rate, deductibility, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(vat) AS DOUBLE) AS vat, CAST(sum(cost) AS DOUBLE) AS non_deductible FROM fx_lines GROUP BY ALL",
+        "vat_breakdown": f"{_FX} SELECT currency, vat_rate, deductibility, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(vat) AS DOUBLE) AS vat, CAST(sum(cost) AS DOUBLE) AS non_deductible FROM fx_lines JOIN fx_documents USING (document_id) GROUP BY ALL",
         "fx_as_of": f"""{_FX}, rates AS (
   SELECT DISTINCT currency, CAST(date_trunc('month', document_date) AS DATE) AS rate_date,
          CASE currency WHEN 'EUR' THEN 4.5::DOUBLE + month(document_date)::DOUBLE / 16 ELSE (1.25::DOUBLE + month(document_date)::DOUBLE / 64) / 100 END AS rate
@@ -267,10 +279,10 @@ FROM fx_documents d ASOF LEFT JOIN rates r ON d.currency = r.currency AND d.docu
         "statement_summary": f"{_FX} SELECT statement_id, count(*) AS n_rows, CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit, CAST(sum(credit - debit) AS DOUBLE) AS closing, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (debit > 0) AS n_debits FROM fx_bank GROUP BY ALL",
         "statement_gap": f"{_FX} SELECT statement_id, CAST(abs(sum(credit - debit) - sum(credit - debit) FILTER (event_type <> 'error')) AS DOUBLE) AS gap FROM fx_bank GROUP BY ALL HAVING count(*) FILTER (event_type <> 'error') > 0",
         "dedupe_transactions": f"{_FX} SELECT statement_id, day, event_type, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, min(row_no) AS row_no, count(*) AS n_same FROM fx_bank GROUP BY statement_id, day, event_type, fx_bank.debit, fx_bank.credit",
-        "vehicle_costs": f"{_FX}{_COSTS} SELECT vehicle_id, category, CAST(amount AS DOUBLE) AS amount FROM costs",
+        "vehicle_costs": f"{_FX}{_COSTS} SELECT vehicle_id, category, CAST(amount AS DOUBLE) AS amount, n_unrated FROM costs",
         "landed_cost": f"""{_FX}{_COSTS}, v AS (SELECT p_partkey AS vehicle_id, CAST(floor(p_retailprice * 100 + 0.5::DOUBLE) / 100 AS DECIMAL(14,2)) AS price FROM part),
 s AS (SELECT vehicle_id, sum(amount) AS costs FROM costs GROUP BY ALL)
-SELECT v.vehicle_id, CAST(coalesce(s.costs, 0) AS DOUBLE) AS costs, CAST(price + coalesce(s.costs, 0) AS DOUBLE) AS landed_cost, CAST(price - coalesce(s.costs, 0) AS DOUBLE) AS margin FROM v LEFT JOIN s USING (vehicle_id)""",
+SELECT v.vehicle_id, CAST(coalesce(s.costs, 0) AS DOUBLE) AS costs, CAST(price + coalesce(s.costs, 0) AS DOUBLE) AS landed_cost, CAST(price - coalesce(s.costs, 0) AS DOUBLE) AS margin, round(100 * CAST(price - coalesce(s.costs, 0) AS DOUBLE) / nullif(CAST(price + coalesce(s.costs, 0) AS DOUBLE), 0), 4) AS margin_percent FROM v LEFT JOIN s USING (vehicle_id)""",
         "in_transit_without_code": "SELECT p_partkey, p_size FROM part WHERE p_size % 8 IN (2, 3) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity >= 49 AND l_partkey IS NOT NULL)",
         "document_kpis": f"{_FX} SELECT type, review_status, count(*) AS n_documents, count(DISTINCT partner_id) AS n_partners, max(document_date) AS newest FROM fx_documents GROUP BY ALL",
         "metrics_report": """SELECT event_id % 2 AS phase, event_type AS document_type, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_success,
@@ -282,5 +294,5 @@ UNION ALL SELECT 'supplier', s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 8, '0')
 SELECT role, id, tax_id, CASE WHEN regexp_full_match(tax_id, '[0-9]{{2,10}}') THEN ({weights}) * 10 % 11 % 10 = CAST(right(tax_id, 1) AS INTEGER) END AS valid FROM k""",
         "partner_keys": "SELECT c_custkey, trim(regexp_replace(upper(c_name), '[^A-Z0-9]+', ' ', 'g')) AS name_key, regexp_replace(regexp_replace(upper(split_part(c_name, '#', -1)), '[^A-Z0-9]', '', 'g'), '^0+', '') AS reference_key FROM customer",
         "text_quality": "SELECT doc_id, CAST(len(regexp_extract_all(left(text, 20000), '[A-Za-z][0-9]|[0-9][A-Za-z]')) AS BIGINT) AS glued FROM documents",
-        "open_items": f"{_FX} SELECT partner_id, direction, CAST(sum((net + vat) * CASE type WHEN 'Invoice' THEN 1 ELSE -1 END) AS DOUBLE) AS outstanding, count(DISTINCT document_id) AS n_documents FROM fx_lines JOIN fx_documents USING (document_id) WHERE type <> 'Receipt' GROUP BY ALL",
+        "open_items": f"{_FX} SELECT partner_id, direction, currency, CAST(sum((net + vat) * CASE type WHEN 'Invoice' THEN 1 ELSE -1 END) AS DOUBLE) AS outstanding, count(DISTINCT document_id) AS n_documents FROM fx_lines JOIN fx_documents USING (document_id) WHERE type <> 'Receipt' GROUP BY ALL",
     }
