@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,45 +32,53 @@ def _round2(x: Column) -> Column:
     return F.floor((x + F.lit(2.0**-52)) * 100 + F.lit(0.5)) / 100
 
 
+def once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x), with x evaluated once however often `of` names it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def _bare(c: Column) -> Column:
-    """Digits, points and minus signs; blanks go and the first comma is a point."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s", ""), r"^([^,]*),", "$1."), r"[^0-9.\-]", "")
+    """Digits, points and minus signs; the first comma is a point, others go."""
+    comma, no = F.lit(","), F.lit("")
+    point = lambda t: F.concat(F.substring_index(t, ",", 1), F.lit("."), F.replace(F.substr(t, F.instr(t, comma) + 1), comma, no))
+    return once(F.regexp_replace(c, r"[^0-9.,\-]", ""), lambda t: F.when(F.instr(t, comma) > 0, point(t)).otherwise(t))
 
 
 def _number(bare: Column) -> Column:
     """A bare text as a number: an empty one is 0, an impossible one null."""
-    return F.when(bare == "", F.lit(0.0)).otherwise(bare.try_cast(NUMBER))
+    return once(bare, lambda t: F.when(t == "", F.lit(0.0)).otherwise(t.try_cast(NUMBER)))
 
 
 def money_positive(c: Column) -> Column:
     """Two decimals; what is no number, or none above 0, is 0."""
-    n = _number(_bare(F.coalesce(c, F.lit(""))))
-    return F.when(n > 0, _round2(n)).otherwise(F.lit(0.0))
+    return once(_number(_bare(F.coalesce(c, F.lit("")))), lambda n: F.when(n > 0, _round2(n)).otherwise(F.lit(0.0)))
 
 
 def money_signed(c: Column) -> Column:
     """Two decimals; parentheses and all kinds of minus signs count; null, empty and impossible texts are null."""
     t = F.trim(c)
-    n = _number(_bare(F.regexp_replace(t, "[−–—]", "-")))
-    return F.when(c == "", None).otherwise(_round2(F.when(t.rlike(r"^\(.*\)$"), -F.abs(n)).otherwise(n)))
+    n = _number(_bare(F.translate(t, "−–—", "---")))
+    return F.when(c == "", None).otherwise(_round2(F.when(t.startswith("(") & t.rlike(r"^\(.*\)$"), -F.abs(n)).otherwise(n)))
 
 
 def money_locale(c: Column) -> Column:
     """Of two kinds of separators the rightmost is the decimal point; a lone comma is one if one or two digits follow
     it at the end. No rounding; texts that are no number are null."""
-    s = F.replace(F.trim(c), F.lit(" "), F.lit(""))
+    return once(F.replace(F.trim(c), F.lit(" "), F.lit("")), _located)
+
+
+def _located(s: Column) -> Column:
     no = lambda x, y: F.replace(x, F.lit(y), F.lit(""))
     point = lambda x: F.replace(x, F.lit(","), F.lit("."))
     comma, dot = s.contains(","), s.contains(".")
     comma_last = F.instr(F.reverse(s), F.lit(",")) < F.instr(F.reverse(s), F.lit("."))
     plain = F.when(comma & dot, F.when(comma_last, point(no(s, "."))).otherwise(no(s, ","))).when(comma, F.when(s.rlike(r",\d{1,2}$"), point(s)).otherwise(no(s, ","))).otherwise(s)
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast(NUMBER))
+    return once(plain, lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast(NUMBER)))
 
 
 def rate_positive(c: Column) -> Column:
     """A number above 0, not rounded, else null."""
-    n = _number(_bare(c))
-    return F.when(n > 0, n)
+    return once(_number(_bare(c)), lambda n: F.when(n > 0, n))
 
 
 def to_ron(amount: Column, rate: Column) -> Column:
