@@ -8,9 +8,9 @@ from ..functions import checks, money, normalise
 from ..operators import bank, ledger, monitor, rates, stock
 from ..sources import driver_tables as src
 from ..sources.driver_tables import table
-from . import account_queries, document_queries, export_queries, field_queries, line_queries, partner_queries, scan_queries, upload_queries, vehicle_queries, work_queries
+from . import account_queries, document_queries, export_queries, field_queries, line_queries, partner_queries, scan_queries, text_queries, upload_queries, vehicle_queries, work_queries
 
-MORE = (account_queries, document_queries, export_queries, field_queries, line_queries, partner_queries, scan_queries, upload_queries, vehicle_queries, work_queries)
+MORE = (account_queries, document_queries, export_queries, field_queries, line_queries, partner_queries, scan_queries, text_queries, upload_queries, vehicle_queries, work_queries)
 
 
 def _rated(spark, sf_dir):
