@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import corrections
 from ..operators import text_checks as tc
 from ..sources.driver_tables import table
 
@@ -21,14 +22,37 @@ def reverse_charge(spark, sf_dir):
     return tc.reverse_charge(docs)
 
 
-NAMES = (reverse_charge,)
+#: A correction for each line number: its field and its value.
+CORRECTIONS = (("total_amount", " 12,50 "), ("line_items[0].quantity", "3"), ("buyer.name", "X "), ("line_items[2].name", "new"), ("paid", "TRUE"), ("extra", "[1,2]"), ("document_number.part", "lost"))
+
+
+def apply_corrections(spark, sf_dir):
+    """Orders as JSON, corrected once for each line number that they have."""
+    k = F.col("o_orderkey")
+    line = lambda n: F.struct(F.lit(n).alias("quantity"))
+    fields = F.to_json(F.struct(F.concat(F.lit("D-"), k).alias("document_number"), (k % 1000).alias("total_amount"), F.array(line(1), line(2)).alias("line_items"), F.lit(True).alias(corrections.REVIEWED)))
+    docs = table(spark, sf_dir, "orders").select(k.alias("document_id"), fields.alias("fields_json"), F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("PENDING").alias("review_status"))
+    n = F.col("l_linenumber").cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in CORRECTIONS)), n)
+    made = table(spark, sf_dir, "lineitem").where(f"l_linenumber <= {len(CORRECTIONS)}").select(F.col("l_orderkey").alias("document_id"), n.alias("correction_id"), (-n).alias("at"), pick(0).alias("field"), pick(1).alias("value")).distinct()
+    got = corrections.apply_corrections(docs, made)
+    paths = {"total": "total_amount", "quantity": "line_items[0].quantity", "buyer": "buyer.name", "third": "line_items[2].name", "paid": "paid", "extra": "extra", "number": "document_number", "reviewed": corrections.REVIEWED}
+    return got.select("document_id", *(F.get_json_object("fields_json", f"$.{p}").alias(c) for c, p in paths.items()), F.size(F.filter("log", lambda x: x["applied"])).alias("n_applied"), F.size("log").alias("n_corrections"))
+
+
+NAMES = (reverse_charge, apply_corrections)
 
 
 def oracle_sql():
     listed = lambda of: "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in of) + "]"
     pick = lambda of: f"{listed(of)}[doc_id % {len(of)} + 1]"
     marks = " OR ".join(f"contains(t, '{m}')" for m in tc.MARKERS)
+    has = lambda n, new, old: f"CASE WHEN open AND list_contains(ns, {n}) THEN {new} ELSE {old} END"
     return {
+        "apply_corrections": f"""WITH c AS (SELECT l_orderkey AS document_id, list(DISTINCT CAST(l_linenumber AS INTEGER)) AS ns FROM lineitem WHERE l_linenumber <= {len(CORRECTIONS)} GROUP BY ALL),
+d AS (SELECT o_orderkey AS document_id, o_orderkey AS k, o_orderstatus <> 'F' AS open, coalesce(ns, []) AS ns FROM orders LEFT JOIN c ON c.document_id = o_orderkey)
+SELECT document_id, {has(1, "'12.5'", 'CAST(k % 1000 AS VARCHAR)')} AS total, {has(2, "'3'", "'1'")} AS quantity, {has(3, "'X '", 'NULL')} AS buyer, {has(4, "'new'", 'NULL')} AS third, {has(5, "'true'", 'NULL')} AS paid, {has(6, "'[1,2]'", 'NULL')} AS extra,
+  'D-' || k AS number, CASE WHEN open AND (list_contains(ns, 2) OR list_contains(ns, 4)) THEN 'false' ELSE 'true' END AS reviewed, CAST(CASE WHEN open THEN len(list_filter(ns, lambda x: x < 7)) ELSE 0 END AS INTEGER) AS n_applied, CAST(len(ns) AS INTEGER) AS n_corrections FROM d""",
         "reverse_charge": rf"""WITH d AS (SELECT doc_id, {pick(BEFORE)} || chr(10) || {pick(AFTER)} || chr(10) || coalesce(text, '') || chr(10) || 'FS10577 M' || chr(10) || {pick(AFTER)} AS text, doc_id % 3 = 0 AS model FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM d)),
 h AS (SELECT doc_id, min(i) AS head FROM l WHERE regexp_matches(x, '{tc.HEADING}') GROUP BY doc_id),
