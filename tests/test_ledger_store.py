@@ -101,3 +101,22 @@ def test_streamed_versions_of_documents(spark, tmp_path, store):
         stream = streaming.stream_table(spark, f"{tmp_path}/in", spark.createDataFrame(file, schema).schema, 1)
         streaming.rewrite_documents(stream, rows, store, f"{tmp_path}/check", order="version").awaitTermination()
     assert sorted(map(tuple, store.read("entries").collect())) == [(1, "2024-03", "d", 3)]
+
+
+def test_posting_a_stream_of_documents(spark, tmp_path):
+    import datetime
+    from decimal import Decimal
+
+    day, schema = datetime.date, "document_id long, type string, direction string, review_status string, document_date date, currency string, version int"
+    lines = spark.createDataFrame([(d, Decimal(100), Decimal(19), "FULL", "628", 1) for d in (1, 2)], "document_id long, net decimal(14,2), vat decimal(14,2), deductibility string, account string, pos int")
+    published = spark.createDataFrame([("EUR", day(2024, 1, 1), 5.0)], "currency string, rate_date date, rate double")
+    store = LedgerStore(spark, f"file://{tmp_path}/ledger", {"entries": streaming.ENTRIES})
+    rows = streaming.posted_rows(lines, published)
+    one = lambda d, at, status, v, c="RON": (d, "Invoice", "incoming", status, at, c, v)
+    sums = []
+    for file in ([one(1, day(2024, 1, 31), "APPROVED", 1), one(2, day(2024, 1, 5), "APPROVED", 1, "EUR"), one(3, day(2024, 1, 5), "APPROVED", 1)], [one(1, day(2024, 2, 1), "APPROVED", 2)], [one(2, day(2024, 1, 5), "REOPENED", 2, "EUR")]):
+        spark.createDataFrame(file, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streaming.stream_table(spark, f"{tmp_path}/in", spark.createDataFrame(file, schema).schema, 1)
+        streaming.rewrite_documents(stream, rows, store, f"{tmp_path}/check", order="version").awaitTermination()
+        sums.append({(r["document_id"], r["month"]): float(r["d"]) for r in store.read("entries").groupBy("document_id", "month").agg(F.sum("debit").alias("d")).collect()})
+    assert sums == [{(1, "2024-01"): 119, (2, "2024-01"): 595}, {(1, "2024-02"): 119, (2, "2024-01"): 595}, {(1, "2024-02"): 119}]
