@@ -290,13 +290,9 @@ def _planned(conv, levels: Levels, ats: list[int], sizes: list[int], total: dict
     return [tuple(r) for r in out]
 
 
-def _edited(cut: DataFrame, planned: DataFrame) -> DataFrame:
-    return cut.select("conv_id", "at", "rows").join(planned.select("at", "edits", "state").hint("merge"), "at")
-
-
 def repaired_turns(cut: DataFrame, planned: DataFrame) -> DataFrame:
     """conv_id, at, i, role and text of the turns after the repair, in the order of (at, i) within a conversation."""
-    joined = _edited(cut, planned).select("conv_id", "at", "rows", "edits", "state")
+    joined = cut.select("conv_id", "at", "rows").join(planned.select("at", "edits", "state").hint("merge"), "at").select("conv_id", "at", "rows", "edits", "state")
     schema = f"conv_id {cut.schema['conv_id'].dataType.simpleString()}, at long, i int, role string, text string"
     names, arrow = [s.split()[0] for s in schema.split(", ")], _arrow_types(cut.sparkSession, schema)
 
@@ -313,13 +309,17 @@ def repaired_turns(cut: DataFrame, planned: DataFrame) -> DataFrame:
 
 def digests(cut: DataFrame, planned: DataFrame) -> DataFrame:
     """sha256 of each conversation's repaired turns, `role:text` joined by newlines. One hash has to read its turns one
-    after the other, so the blocks of a conversation pass through one task, which holds a block at a time."""
-    joined = _edited(cut, planned).select("conv_id", "at", "rows", "edits", "state").repartition("conv_id").sortWithinPartitions("conv_id", "at")
+    after the other, so the blocks of a conversation pass through one task, which holds a block at a time. The edits of a
+    block come in a row of their own right before it, so the turns travel once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    edits = planned.select("conv_id", "at", F.lit(False).alias("is_block"), "edits", "state", none(_ROWS).alias("rows"))
+    turns = cut.select("conv_id", "at", F.lit(True).alias("is_block"), none("string").alias("edits"), none("int").alias("state"), "rows")
+    both = edits.unionByName(turns).repartition("conv_id").sortWithinPartitions("conv_id", "at", "is_block")
     schema = f"conv_id {cut.schema['conv_id'].dataType.simpleString()}, repaired_sha256 string"
     arrow = _arrow_types(cut.sparkSession, schema)
 
     def hashed(batches):
-        conv, sha, begun = None, None, False
+        conv, sha, begun, todo = None, None, False, ("", 0)
         frame = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow)], names=["conv_id", "repaired_sha256"])
         for batch in batches:
             out = []
@@ -328,7 +328,10 @@ def digests(cut: DataFrame, planned: DataFrame) -> DataFrame:
                     if sha is not None:
                         out.append((conv, sha.hexdigest()))
                     conv, sha, begun = values[0], hashlib.sha256(), False
-                for role, text in rewritten([(r["role"], r["text"]) for r in values[2]], values[3], values[4])[0]:
+                if not values[2]:
+                    todo = values[3:5]
+                    continue
+                for role, text in rewritten([(r["role"], r["text"]) for r in values[5]], *todo)[0]:
                     sha.update((("\n" if begun else "") + f"{role}:{text}").encode())
                     begun = True
             if out:
@@ -336,7 +339,7 @@ def digests(cut: DataFrame, planned: DataFrame) -> DataFrame:
         if sha is not None:
             yield frame([(conv, sha.hexdigest())])
 
-    return joined.mapInArrow(hashed, schema)
+    return both.mapInArrow(hashed, schema)
 
 
 REPORT = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
