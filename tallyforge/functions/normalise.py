@@ -39,19 +39,18 @@ def once(x: Column, of: Callable[[Column], Column]) -> Column:
 
 def _bare(c: Column) -> Column:
     """Digits, points and minus signs; the first comma is a point, others go."""
-    comma, no = F.lit(","), F.lit("")
-    point = lambda t: F.concat(F.substring_index(t, ",", 1), F.lit("."), F.replace(F.substr(t, F.instr(t, comma) + 1), comma, no))
-    return once(F.regexp_replace(c, r"[^0-9.,\-]", ""), lambda t: F.when(F.instr(t, comma) > 0, point(t)).otherwise(t))
+    kept = F.regexp_replace(c, r"[^0-9.,\-]", "")
+    return F.translate(F.regexp_replace(kept, "^([^,]*),", "$1."), ",", "")
 
 
 def _number(bare: Column) -> Column:
     """A bare text as a number: an empty one is 0, an impossible one null."""
-    return once(bare, lambda t: F.when(t == "", F.lit(0.0)).otherwise(t.try_cast(NUMBER)))
+    return F.regexp_replace(bare, "^$", "0").try_cast(NUMBER)
 
 
 def money_positive(c: Column) -> Column:
     """Two decimals; what is no number, or none above 0, is 0."""
-    return once(_number(_bare(F.coalesce(c, F.lit("")))), lambda n: F.when(n > 0, _round2(n)).otherwise(F.lit(0.0)))
+    return _round2(F.greatest(_number(_bare(F.coalesce(c, F.lit("")))), F.lit(0.0)))
 
 
 def money_signed(c: Column) -> Column:

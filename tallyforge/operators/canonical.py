@@ -23,41 +23,56 @@ def first_of(v: Column, names: tuple[str, ...]) -> Column:
 
 
 def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """Only an object can be read as a struct; what is in it is not looked at."""
+    return F.try_variant_get(v, "$", "struct<x:variant>").isNotNull()
 
 
-def unwrapped(json: Column) -> Column:
-    """The object `result`, else `data`, else the object itself; what is no object, or no JSON, is an empty one."""
-    v = F.try_parse_json(json)
-    inner = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
-    return F.when(_is_object(inner("result")), inner("result")).when(_is_object(inner("data")), inner("data")).when(_is_object(v), v).otherwise(F.parse_json(F.lit("{}")))
+def texts_of(v: Column, path: str, names: tuple[str, ...], many: bool = False) -> Column:
+    """The named fields as texts, of an object or of each element of an array, read in one go."""
+    fields = f"struct<{','.join(f'{name}:string' for name in names)}>"
+    return F.try_variant_get(v, path, f"array<{fields}>" if many else fields)
+
+
+def first_text(x: Column, names: tuple[str, ...]) -> Column:
+    """As first_of, of what texts_of has read."""
+    return F.coalesce(*(x[name] for name in names))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """raw documents with their JSON parsed once, as v."""
-    return raw.withColumn("v", unwrapped(F.col("fields_json")))
+    """raw documents with their JSON parsed once, as v: the object `result`, else `data`, else the object itself; what is no
+    object, or no JSON, is an empty one."""
+    whole = raw.withColumn("_json", F.try_parse_json("fields_json"))
+    inner = whole.withColumns({f"_{name}": F.try_variant_get("_json", f"$.{name}", "variant") for name in ("result", "data")})
+    found = F.when(_is_object(F.col("_result")), F.col("_result")).when(_is_object(F.col("_data")), F.col("_data")).when(_is_object(F.col("_json")), F.col("_json")).otherwise(F.parse_json(F.lit("{}")))
+    return inner.withColumn("v", found).drop("_json", "_result", "_data")
 
 
 def canonical_documents(docs: DataFrame, own: Column) -> DataFrame:
     """Number, date, currency, direction and amounts: a total of 0 or more, a VAT up to it, and the stated net or what the
     VAT leaves of the total. docs come from parsed(); own is the tenant's tax id."""
-    v = F.col("v")
-    text = lambda *names: F.trim(F.coalesce(first_of(v, names), F.lit("")))
-    total = n.money_positive(first_of(v, TOTAL))
-    vat = F.least(total, n.money_positive(first_of(v, VAT)))
-    net = n.money_positive(first_of(v, NET))
+    read = docs.select("*", texts_of(F.col("v"), "$", (*NUMBER, *DATE, *TOTAL, *VAT, *NET, "vendor_ein", "buyer_ein", "currency", "direction")).alias("_texts"))
+    of = lambda *names: first_text(F.col("_texts"), names)
+    text = lambda *names: F.trim(F.coalesce(of(*names), F.lit("")))
     vendor, buyer = n.tax_id_compare(text("vendor_ein")), n.tax_id_compare(text("buyer_ein"))
-    got = docs.select("document_id", text(*NUMBER).alias("number"), n.parse_date(first_of(v, DATE)).alias("document_date"), n.currency_code(first_of(v, ("currency",))).alias("currency"), n.direction(first_of(v, ("direction",)), vendor, buyer, own).alias("direction"), total.alias("total"), vat.alias("vat"), net.alias("net"))
+    got = read.select("document_id", text(*NUMBER).alias("number"), n.parse_date(of(*DATE)).alias("document_date"), n.currency_code(of("currency")).alias("currency"), n.direction(of("direction"), vendor, buyer, own).alias("direction"), n.money_positive(of(*TOTAL)).alias("total"), n.money_positive(of(*VAT)).alias("vat"), n.money_positive(of(*NET)).alias("net"))
+    got = got.withColumn("vat", F.least("total", "vat"))
     return got.withColumn("net", F.when(F.col("net") > 0, F.col("net")).otherwise(F.greatest(F.lit(0.0), n._round2(F.col("total") - F.col("vat")))))
 
 
+def exploded(docs: DataFrame, of: Column, at: str, name: str) -> DataFrame:
+    """document_id with each element and its place. A plain explode lets Spark filter on the array's size first, and so
+    make the array, and all that it is made of, once more for that filter."""
+    return docs.select("document_id", F.posexplode_outer(of).alias(at, name)).where(F.col(at).isNotNull())
+
+
 def canonical_lines(docs: DataFrame) -> DataFrame:
     """One row a line: a quantity of 0 or none is 1; the stated net, else quantity by price; the stated price, else net by
     quantity; no VAT is 0; a line without a name is `Articol n`."""
-    at = docs.select("document_id", F.posexplode(F.try_variant_get("v", "$.line_items", "array<variant>")).alias("i", "x"))
-    signed = lambda *names: n.money_signed(first_of(F.col("x"), names))
+    texts = texts_of(F.col("v"), "$.line_items", ("quantity", *LINE_PRICE, *LINE_NET, *LINE_VAT, "name", "description"), many=True)
+    at = exploded(docs, texts, "i", "x")
+    signed = lambda *names: n.money_signed(first_text(F.col("x"), names))
     quantity = signed("quantity")
-    at = at.select("document_id", F.col("i"), F.when(F.coalesce(quantity, F.lit(0.0)) == 0, 1.0).otherwise(quantity).alias("quantity"), signed(*LINE_PRICE).alias("price"), signed(*LINE_NET).alias("net"), F.coalesce(signed(*LINE_VAT), F.lit(0.0)).alias("vat"), n.text_of(first_of(F.col("x"), ("name", "description"))).alias("name"))
+    at = at.select("document_id", F.col("i"), F.when(F.coalesce(quantity, F.lit(0.0)) == 0, 1.0).otherwise(quantity).alias("quantity"), signed(*LINE_PRICE).alias("price"), signed(*LINE_NET).alias("net"), F.coalesce(signed(*LINE_VAT), F.lit(0.0)).alias("vat"), n.text_of(first_text(F.col("x"), ("name", "description"))).alias("name"))
     net = F.coalesce("net", n._round2(F.col("quantity") * F.coalesce("price", F.lit(0.0))))
     at = at.withColumn("net", net)
     return at.select("document_id", (F.col("i") + 1).alias("line_no"), F.coalesce("name", F.concat(F.lit("Articol "), F.col("i") + 1)).alias("name"), "quantity", F.coalesce("price", n._round2(F.col("net") / F.col("quantity"))).alias("unit_price"), "net", "vat")
@@ -74,7 +89,7 @@ def canonical_references(docs: DataFrame) -> DataFrame:
     split = F.flatten(F.transform(F.filter(plain, lambda x: x.isNotNull()), lambda x: F.split(x, ",")))
     from_plain = F.transform(split, lambda x: F.struct(F.trim(x).alias("number"), F.lit(None).cast("double").alias("amount")))
     found = F.filter(F.coalesce(from_objects, from_plain), lambda r: F.coalesce(r["number"] != "", F.lit(False)))
-    rows = docs.select("document_id", F.posexplode(found).alias("ord", "r")).groupBy("document_id", "r.number").agg(F.min("ord").alias("ord"), F.min_by("r.amount", "ord").alias("amount"))
+    rows = exploded(docs, found, "ord", "r").groupBy("document_id", "r.number").agg(F.min("ord").alias("ord"), F.min_by("r.amount", "ord").alias("amount"))
     return rows.select("document_id", "ord", "number", reference_key(F.col("number")).alias("key"), "amount")
 
 

@@ -23,7 +23,7 @@ def raw_documents(spark, sf_dir):
     printed = F.struct(name.alias("description"), F.when(F.col("net") < 0, F.concat(F.lit("("), comma(F.col("net")), F.lit(")"))).otherwise(comma(F.col("net"))).alias("line_total"), F.col("vat").cast("string").alias("tva"))
     priced = F.struct(name.alias("name"), F.when(quantity % 5 == 0, 0).otherwise(quantity).alias("quantity"), price.alias("pret"))
     kind = F.col("document_id") % 3
-    own = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", printed.alias("a"), priced.alias("b")))).alias("rows"), F.sum(F.col("net") + F.col("vat")).cast("decimal(14,2)").alias("total"), F.sum("vat").cast("decimal(14,2)").alias("vat"))
+    own = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pos", printed.alias("a"), priced.alias("b")))).alias("rows"), F.sum(F.col("net") + F.col("vat")).cast("decimal(14,2)").alias("total"), F.sum("vat").cast("decimal(14,2)").alias("vat"))
     met = d.join(own, "document_id")
     k, day = F.col("document_id"), F.col("document_date")
     currency = F.when(F.col("currency") == "RON", "lei").when(F.col("currency") == "EUR", "€").otherwise("huf ")
