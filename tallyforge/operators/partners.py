@@ -16,9 +16,16 @@ MERGED = ("name", "tax_id", "code", "country", "kind", "city")
 
 
 def _index(partners: DataFrame, key: Column, name: str) -> DataFrame:
-    """One row a key: how many partners have it, and the first of them. Aggregated first, so no key is a hot one."""
+    """One row a key: how many partners have it, and the first of them. Aggregated first, so no key is a hot one. Partners
+    may be many, so rows meet the table in a shuffle, whatever size is guessed for it."""
     first = F.min_by(F.struct("partner_id", F.col("tax_key").alias("tax_key"), F.col("kind"), F.col("country")), "partner_id")
-    return partners.where(key.isNotNull() & (key != "")).groupBy(key.alias(f"{name}_key")).agg(F.count("*").alias(f"{name}_n"), first.alias(f"by_{name}"))
+    return partners.where(key.isNotNull() & (key != "")).groupBy(F.concat(F.lit("k"), key).alias(f"{name}_at")).agg(F.count("*").alias(f"{name}_n"), first.alias(f"by_{name}")).hint("merge")
+
+
+def _keyed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with what they are dealt by: their key, else their own number, which no key is equal to. All rows without a key
+    would lie in one task if they were dealt by the null."""
+    return rows.withColumn(f"{name}_at", F.coalesce(F.concat(F.lit("k"), F.nullif(F.col(f"{name}_key"), F.lit(""))), F.concat(F.lit("n"), F.col("row_no").cast("string"))))
 
 
 def imported_kind(stated: Column, tax_key: Column, country: Column, known: Column) -> Column:
@@ -39,15 +46,18 @@ def match_partners(rows: DataFrame, partners: DataFrame, role: str) -> DataFrame
     have a null or blank where nothing is known. rows: row_no, name, tax_id, code, country, kind, city."""
     have = partners.select("partner_id", "name", "country", "kind", tax_id_key(F.col("tax_id")).alias("tax_key"), nz.partner_code_key(F.col(f"{role}_code")).alias("code_key"))
     keyed = rows.withColumns({"tax_key": F.nullif(tax_id_key(F.col("tax_id")), F.lit("")), "code_key": F.nullif(nz.partner_code_key(F.col("code")), F.lit("")), "name_key": nz.name_country_key(F.col("name"), F.col("country"))})
-    got = keyed.join(_index(have, F.col("tax_key"), "tax"), "tax_key", "left").join(_index(have, F.col("code_key"), "code"), "code_key", "left")
-    got = got.join(_index(have, nz.name_country_key(F.col("name"), F.col("country")), "name"), "name_key", "left")
+    got, name_key = keyed, nz.name_country_key(F.col("name"), F.col("country"))
+    for name, key in (("tax", F.col("tax_key")), ("code", F.col("code_key")), ("name", name_key)):
+        got = _keyed(got, name).join(_index(have, key, name), f"{name}_at", "left")
     known = F.coalesce(F.nullif(F.col("by_name.tax_key"), F.lit("")), F.col("tax_key"))
     named = (F.col("name_n") == 1) & (F.col("tax_key").isNull() | (known == F.col("tax_key")))
     source = F.when(F.col("by_tax").isNotNull(), "identification").when(F.col("by_code").isNotNull(), "code").when(named, "name")
     got = got.withColumn("match_source", source).withColumn("p", F.when(source == "identification", F.col("by_tax")).when(source == "code", F.col("by_code")).when(source == "name", F.col("by_name")))
-    on_file = F.nullif(F.col("p.tax_key"), F.lit(""))
-    country = F.coalesce(nz.text_of(F.col("country")), F.col("p.country"))
-    kind = imported_kind(F.col("kind"), F.coalesce(F.col("tax_key"), on_file), country, F.col("p.kind"))
+    got = got.withColumns({"on_file": F.nullif(F.col("p.tax_key"), F.lit("")), "now_in": nz.country_code(F.coalesce(nz.text_of(F.col("country")), F.col("p.country")))})
+    on_file, country = F.col("on_file"), F.col("now_in")
+    got = got.withColumn("any_tax", F.coalesce(F.col("tax_key"), on_file))
+    got = got.withColumn("new_kind", imported_kind(F.col("kind"), F.col("any_tax"), country, F.col("p.kind")))
+    kind = F.col("new_kind")
     error = (
         F.when(nz.text_of(F.col("name")).isNull(), "name missing")
         .when(F.col("tax_n") > 1, "identifier of several partners")
@@ -56,9 +66,9 @@ def match_partners(rows: DataFrame, partners: DataFrame, role: str) -> DataFrame
         .when(on_file != F.col("tax_key"), "other identifier on file")
     )
     if role == "supplier":
-        error = F.coalesce(error, F.when(kind == "INDIVIDUAL", private_seller_error(country, F.coalesce(F.col("tax_key"), on_file))))
+        error = F.coalesce(error, F.when(kind == "INDIVIDUAL", private_seller_error(country, F.col("any_tax"))))
     entity = F.coalesce(F.concat(F.lit("t:"), "tax_key"), F.concat(F.lit("c:"), "code_key"), F.concat(F.lit("n:"), "name_key"))
-    return got.select("row_no", "name", "tax_key", "code", F.col("country").alias("stated_country"), nz.country_code(country).alias("country"), kind.alias("new_kind"), nz.text_of(F.col("city")).alias("city"), "match_source", F.col("p.partner_id").alias("partner_id"), error.alias("error"), entity.alias("entity"))
+    return got.select("row_no", "name", "tax_key", "code", F.col("country").alias("stated_country"), country.alias("country"), "new_kind", nz.text_of(F.col("city")).alias("city"), "match_source", F.col("p.partner_id").alias("partner_id"), error.alias("error"), entity.alias("entity"))
 
 
 def import_summary(matched: DataFrame) -> DataFrame:
