@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,19 @@ _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 FARTHEST = 1000
 
 LOG = "array<struct<field:string,old_value:string,new_value:string,applied:boolean>>"
+_LOG_NAMES = ("field", "old_value", "new_value", "applied")
+_LOG_TYPES = (pa.string(), pa.string(), pa.string(), pa.bool_())
+_json = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
 
-def path_parts(path: str) -> list[str | int]:
-    return [int(p) if p.isdigit() else p for p in re.sub(r"\[(\d+)\]", r".\1", path).split(".") if p]
+@lru_cache(10_000)
+def path_parts(path: str) -> tuple[str | int, ...]:
+    return tuple(int(p) if p.isdigit() else p for p in re.sub(r"\[(\d+)\]", r".\1", path).split(".") if p)
+
+
+@lru_cache(10_000)
+def is_numeric(field: str) -> bool:
+    return NUMERIC.search(field) is not None
 
 
 def read_path(root, path: str):
@@ -69,7 +79,7 @@ def coerced(field: str, value: str | None):
     if value is None:
         return None
     t = value.strip()
-    if NUMERIC.search(field) and _NUMBER.fullmatch(t.replace(",", ".", 1)):
+    if is_numeric(field) and _NUMBER.fullmatch(t.replace(",", ".", 1)):
         n = float(t.replace(",", ".", 1))
         if abs(n) != float("inf"):
             return int(n) if n.is_integer() and abs(n) < 1e15 else n
@@ -84,7 +94,7 @@ def coerced(field: str, value: str | None):
 
 
 def _text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else _json(value)
 
 
 def corrected(fields: str, corrections: list[tuple[str, str | None]]) -> tuple[str, list[tuple]]:
@@ -113,18 +123,27 @@ def apply_corrections(documents: DataFrame, corrections: DataFrame) -> DataFrame
     made by hand, are gathered; hot documents don't arise.
     """
 
-    @F.pandas_udf(f"fields_json string, log {LOG}")
-    def run(fields: pd.Series, closed: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, shut, own in zip(fields, closed, items):
-            pairs = [(c["field"], c["value"]) for c in own]
-            done, log = (text, [(f, None, v, False) for f, v in pairs]) if shut else corrected(text, pairs)
-            rows.append((done, [dict(zip(("field", "old_value", "new_value", "applied"), x)) for x in log]))
-        return pd.DataFrame(rows, columns=["fields_json", "log"])
-
-    own = corrections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("at", "correction_id", "field", "value"))).alias("items"))
+    @F.arrow_udf(f"fields_json string, log {LOG}")
+    def run(fields: pa.Array, closed: pa.Array, items: pa.Array) -> pa.Array:
+        """Texts and logs of a batch. The corrections of all rows come and go as flat columns and the places where each row's
+        begin; making an object of each of them would cost more than the corrections."""
+        flat, sizes = items.flatten(), [n or 0 for n in items.value_lengths().to_pylist()]
+        pairs = list(zip(flat.field("field").to_pylist(), flat.field("value").to_pylist()))
+        texts, log, ends = [], [], [0]
+        for text, shut, n in zip(fields.to_pylist(), closed.to_pylist(), sizes):
+            own = pairs[ends[-1] : ends[-1] + n]
+            done, made = (text, [(f, None, v, False) for f, v in own]) if shut or not n else corrected(text, own)
+            texts.append(done)
+            log += made
+            ends.append(len(log))
+        columns = zip(*log) if log else ((),) * len(_LOG_NAMES)
+        logs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _LOG_TYPES)], names=_LOG_NAMES)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), logs)], names=("fields_json", "log"))
+
+    made = F.sort_array(F.collect_list(F.struct("at", "correction_id", "field", "value")))
+    own = corrections.groupBy("document_id").agg(F.transform(made, lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"))).alias("items"))
     met = documents.select("document_id", "fields_json", "review_status").join(own, "document_id", "left")
     closed = F.coalesce(F.col("review_status") == "APPROVED", F.lit(False)) | F.col("fields_json").isNull()
-    got = run("fields_json", closed, "items")
-    touched = met.where("items is not null").select("document_id", got.alias("r")).select("document_id", "r.fields_json", "r.log")
-    return touched.unionByName(met.where("items is null").select("document_id", "fields_json", F.array().cast(LOG).alias("log")))
+    kept = closed | F.col("items").isNull()
+    got = met.select("document_id", "fields_json", kept.alias("kept"), run(F.when(~kept, F.col("fields_json")), closed, "items").alias("r"))
+    return got.select("document_id", F.when(F.col("kept"), F.col("fields_json")).otherwise(F.col("r.fields_json")).alias("fields_json"), "r.log")

@@ -32,12 +32,14 @@ def apply_corrections(spark, sf_dir):
     line = lambda n: F.struct(F.lit(n).alias("quantity"))
     fields = F.to_json(F.struct(F.concat(F.lit("D-"), k).alias("document_number"), (k % 1000).alias("total_amount"), F.array(line(1), line(2)).alias("line_items"), F.lit(True).alias(corrections.REVIEWED)))
     docs = table(spark, sf_dir, "orders").select(k.alias("document_id"), fields.alias("fields_json"), F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("PENDING").alias("review_status"))
-    n = F.col("l_linenumber").cast("int")
+    numbers = table(spark, sf_dir, "lineitem").where(f"l_linenumber <= {len(CORRECTIONS)}").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("int").alias("n"))
+    n = F.col("n")
     pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in CORRECTIONS)), n)
-    made = table(spark, sf_dir, "lineitem").where(f"l_linenumber <= {len(CORRECTIONS)}").select(F.col("l_orderkey").alias("document_id"), n.alias("correction_id"), (-n).alias("at"), pick(0).alias("field"), pick(1).alias("value")).distinct()
+    made = numbers.repartition("document_id").distinct().select("document_id", n.alias("correction_id"), (-n).alias("at"), pick(0).alias("field"), pick(1).alias("value"))
     got = corrections.apply_corrections(docs, made)
     paths = {"total": "total_amount", "quantity": "line_items[0].quantity", "buyer": "buyer.name", "third": "line_items[2].name", "paid": "paid", "extra": "extra", "number": "document_number", "reviewed": corrections.REVIEWED}
-    return got.select("document_id", *(F.get_json_object("fields_json", f"$.{p}").alias(c) for c, p in paths.items()), F.size(F.filter("log", lambda x: x["applied"])).alias("n_applied"), F.size("log").alias("n_corrections"))
+    read = got.select("document_id", F.try_parse_json("fields_json").alias("v"), "log")
+    return read.select("document_id", *(F.try_variant_get("v", f"$.{p}", "string").alias(c) for c, p in paths.items()), F.size(F.filter("log", lambda x: x["applied"])).alias("n_applied"), F.size("log").alias("n_corrections"))
 
 
 NAMES = (reverse_charge, apply_corrections)
