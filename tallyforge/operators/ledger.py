@@ -49,11 +49,13 @@ def _some(*parts: tuple[Column, Column]) -> Column:
 
 
 def _gathered(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """Approved documents with their lines in order as `ls`, one row each; documents and lines meet in one shuffle."""
+    """Approved documents with their lines in order as `ls`, one row each. Lines of other documents go before any are gathered:
+    lines are dealt by document once, as they are, and what is gathered of them there stays where it is."""
     known = documents.withColumns({c: F.lit(v).cast(t) for c, (t, v) in OPTIONAL.items() if c not in documents.columns})
     live = known.where("review_status = 'APPROVED'").select("document_id", "type", "direction", "document_date", "rate", *OPTIONAL)
     rate = F.col("vat_rate") if "vat_rate" in lines.columns else F.lit(None)
-    own = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", "net", "vat", "deductibility", "account", rate.cast("int").alias("vat_rate")))).alias("ls"), F.sum("net").alias("lines_net"), F.sum("vat").alias("lines_vat"))
+    ids = live.select("document_id").distinct().hint("shuffle_hash")
+    own = lines.join(ids, "document_id", "left_semi").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pos", "net", "vat", "deductibility", "account", rate.cast("int").alias("vat_rate")))).alias("ls"), F.sum("net").alias("lines_net"), F.sum("vat").alias("lines_vat"))
     at = F.transform("ls", lambda x, i: F.struct((i + 1).alias("pos"), x["net"].alias("net"), x["vat"].alias("vat"), x["deductibility"].alias("deductibility"), x["account"].alias("account"), x["vat_rate"].alias("vat_rate")))
     return live.join(own.withColumn("ls", at), "document_id", "left").withColumn("n", F.coalesce(F.size("ls"), F.lit(0)))
 
