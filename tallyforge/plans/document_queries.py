@@ -14,16 +14,17 @@ OWN = "900"
 
 def raw_documents(spark, sf_dir):
     """Documents as three extractors give them: in an envelope `result` with printed amounts, in `data` with numbers and
-    prices, and bare with references."""
+    prices, and bare with references. Lines are dealt by document as they are, and made up for the one form in which their
+    document has them."""
     d = src.documents(spark, sf_dir).select("document_id", "document_date", "direction", "currency")
-    rows = src.lines(spark, sf_dir).select("document_id", "pos", "net", "vat")
+    rows = src.lines(spark, sf_dir).select("document_id", "pos", "net", "vat").repartition("document_id")
     comma = lambda x: F.replace(F.abs(x).cast("string"), F.lit("."), F.lit(","))
     name = F.when(F.col("pos.l_linenumber") % 3 != 0, F.concat(F.lit(" part "), F.col("pos.l_partkey"), F.lit(" ")))
     quantity, price = F.col("pos.l_quantity"), (F.floor(F.col("pos.l_extendedprice") + F.lit(0.5)) / 100).cast("decimal(12,2)")
     printed = F.struct(name.alias("description"), F.when(F.col("net") < 0, F.concat(F.lit("("), comma(F.col("net")), F.lit(")"))).otherwise(comma(F.col("net"))).alias("line_total"), F.col("vat").cast("string").alias("tva"))
     priced = F.struct(name.alias("name"), F.when(quantity % 5 == 0, 0).otherwise(quantity).alias("quantity"), price.alias("pret"))
     kind = F.col("document_id") % 3
-    own = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pos", printed.alias("a"), priced.alias("b")))).alias("rows"), F.sum(F.col("net") + F.col("vat")).cast("decimal(14,2)").alias("total"), F.sum("vat").cast("decimal(14,2)").alias("vat"))
+    own = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.when(kind < 2, F.struct("pos", F.when(kind == 0, printed).alias("a"), F.when(kind == 1, priced).alias("b"))))).alias("rows"), F.sum(F.col("net") + F.col("vat")).cast("decimal(14,2)").alias("total"), F.sum("vat").cast("decimal(14,2)").alias("vat"))
     met = d.join(own, "document_id")
     k, day = F.col("document_id"), F.col("document_date")
     currency = F.when(F.col("currency") == "RON", "lei").when(F.col("currency") == "EUR", "€").otherwise("huf ")
