@@ -10,9 +10,14 @@ SF = "/root/testdata/sf0.001"
 def gathered(df):
     """What the lines are gathered from, in the plan as it is run."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return re.search(r"Aggregate \[document_id.*?\n[ :+-]*(\w+) ", plan)[1], plan
+    return re.findall(r"Aggregate \[document_id.*?\n[ :+-]*(\w+) ", plan)[-1], plan
 
 
 def test_documents_deal_lines_first(spark):
     below, plan = gathered(dq.canonical_documents(spark, SF))
     assert below == "RepartitionByExpression" and plan.count("RepartitionByExpression") == 1
+
+
+def test_references_deal_lines_first(spark):
+    below, plan = gathered(dq.canonical_references(spark, SF))
+    assert below == "RepartitionByExpression" and plan.count("RepartitionByExpression") == 1
