@@ -18,23 +18,20 @@ LINE_NET, LINE_PRICE, LINE_VAT = ("net_amount", "line_total", "total", "valoare"
 REFERENCE, REFERENCE_AMOUNT = ("number", "document_number", "invoice_number", "reference"), ("amount", "payment_amount", "paid_amount")
 
 
-def first_of(v: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.try_variant_get(v, f"$.{name}", "string") for name in names))
-
-
 def _is_object(v: Column) -> Column:
     """Only an object can be read as a struct; what is in it is not looked at."""
     return F.try_variant_get(v, "$", "struct<x:variant>").isNotNull()
 
 
 def texts_of(v: Column, path: str, names: tuple[str, ...], many: bool = False) -> Column:
-    """The named fields as texts, of an object or of each element of an array, read in one go."""
+    """The named fields as texts, of an object or of each element of an array, read in one go. A path that isn't there costs
+    Spark an exception, a field of a struct that isn't there costs nothing."""
     fields = f"struct<{','.join(f'{name}:string' for name in names)}>"
     return F.try_variant_get(v, path, f"array<{fields}>" if many else fields)
 
 
 def first_text(x: Column, names: tuple[str, ...]) -> Column:
-    """As first_of, of what texts_of has read."""
+    """The first of the named fields that is there, of what texts_of has read."""
     return F.coalesce(*(x[name] for name in names))
 
 
@@ -42,9 +39,10 @@ def parsed(raw: DataFrame) -> DataFrame:
     """raw documents with their JSON parsed once, as v: the object `result`, else `data`, else the object itself; what is no
     object, or no JSON, is an empty one."""
     whole = raw.withColumn("_json", F.try_parse_json("fields_json"))
-    inner = whole.withColumns({f"_{name}": F.try_variant_get("_json", f"$.{name}", "variant") for name in ("result", "data")})
-    found = F.when(_is_object(F.col("_result")), F.col("_result")).when(_is_object(F.col("_data")), F.col("_data")).when(_is_object(F.col("_json")), F.col("_json")).otherwise(F.parse_json(F.lit("{}")))
-    return inner.withColumn("v", found).drop("_json", "_result", "_data")
+    inner = whole.withColumn("_in", F.try_variant_get("_json", "$", "struct<result:variant,data:variant>"))
+    result, data = F.col("_in.result"), F.col("_in.data")
+    found = F.when(_is_object(result), result).when(_is_object(data), data).when(F.col("_in").isNotNull(), F.col("_json")).otherwise(F.parse_json(F.lit("{}")))
+    return inner.withColumn("v", found).drop("_json", "_in")
 
 
 def canonical_documents(docs: DataFrame, own: Column) -> DataFrame:
@@ -81,15 +79,19 @@ def canonical_lines(docs: DataFrame) -> DataFrame:
 def canonical_references(docs: DataFrame) -> DataFrame:
     """Distinct numbers that a document refers to, in order: structured ones (texts or objects with an amount) win over
     plain lists and single fields; lists with commas are split."""
-    v = F.col("v")
-    structured = F.try_variant_get(v, "$.referenced_invoices", "array<variant>")
-    of_object = lambda x: F.struct(F.trim(F.coalesce(F.try_variant_get(x, "$", "string"), first_of(x, REFERENCE))).alias("number"), F.nullif(n.money_positive(first_of(x, REFERENCE_AMOUNT)), F.lit(0.0)).alias("amount"))
-    from_objects = F.transform(structured, lambda x: F.when(_is_object(x), F.struct(F.trim(first_of(x, REFERENCE)).alias("number"), F.nullif(n.money_positive(first_of(x, REFERENCE_AMOUNT)), F.lit(0.0)).alias("amount"))).otherwise(of_object(x)))
-    plain = F.concat(F.coalesce(F.try_variant_get(v, "$.referenced_numbers", "array<string>"), F.array().cast("array<string>")), F.array(F.try_variant_get(v, "$.invoice_reference", "string"), F.try_variant_get(v, "$.reference_number", "string")))
+    fields = "struct<referenced_invoices:array<variant>,referenced_numbers:array<string>,invoice_reference:string,reference_number:string>"
+    read = docs.select("document_id", F.try_variant_get("v", "$", fields).alias("_f"))
+    of = lambda name: F.col(f"_f.{name}")
+    amount = lambda t: F.nullif(n.money_positive(first_text(t, REFERENCE_AMOUNT)), F.lit(0.0))
+    known = F.transform(of("referenced_invoices"), lambda x: F.struct(x.alias("x"), texts_of(x, "$", (*REFERENCE, *REFERENCE_AMOUNT)).alias("t")))
+    from_objects = F.transform(known, lambda k: F.when(k["t"].isNotNull(), F.struct(F.trim(first_text(k["t"], REFERENCE)).alias("number"), amount(k["t"]).alias("amount"))).otherwise(F.struct(F.trim(F.try_variant_get(k["x"], "$", "string")).alias("number"), F.lit(None).cast("double").alias("amount"))))
+    plain = F.concat(F.coalesce(of("referenced_numbers"), F.array().cast("array<string>")), F.array(of("invoice_reference"), of("reference_number")))
     split = F.flatten(F.transform(F.filter(plain, lambda x: x.isNotNull()), lambda x: F.split(x, ",")))
     from_plain = F.transform(split, lambda x: F.struct(F.trim(x).alias("number"), F.lit(None).cast("double").alias("amount")))
     found = F.filter(F.coalesce(from_objects, from_plain), lambda r: F.coalesce(r["number"] != "", F.lit(False)))
-    rows = exploded(docs, found, "ord", "r").groupBy("document_id", "r.number").agg(F.min("ord").alias("ord"), F.min_by("r.amount", "ord").alias("amount"))
+    any_ = of("referenced_invoices").isNotNull() | of("referenced_numbers").isNotNull() | of("invoice_reference").isNotNull() | of("reference_number").isNotNull()
+    docs = read.select("document_id", F.when(any_, found).alias("_found"))
+    rows = exploded(docs, F.col("_found"), "ord", "r").groupBy("document_id", "r.number").agg(F.min("ord").alias("ord"), F.min_by("r.amount", "ord").alias("amount"))
     return rows.select("document_id", "ord", "number", reference_key(F.col("number")).alias("key"), "amount")
 
 
