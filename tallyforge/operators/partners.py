@@ -52,7 +52,7 @@ def match_partners(rows: DataFrame, partners: DataFrame, role: str) -> DataFrame
     known = F.coalesce(F.nullif(F.col("by_name.tax_key"), F.lit("")), F.col("tax_key"))
     named = (F.col("name_n") == 1) & (F.col("tax_key").isNull() | (known == F.col("tax_key")))
     source = F.when(F.col("by_tax").isNotNull(), "identification").when(F.col("by_code").isNotNull(), "code").when(named, "name")
-    got = got.withColumn("match_source", source).withColumn("p", F.when(source == "identification", F.col("by_tax")).when(source == "code", F.col("by_code")).when(source == "name", F.col("by_name")))
+    got = got.withColumn("match_source", source).withColumn("p", F.when(F.col("match_source") == "identification", F.col("by_tax")).when(F.col("match_source") == "code", F.col("by_code")).when(F.col("match_source") == "name", F.col("by_name")))
     got = got.withColumns({"on_file": F.nullif(F.col("p.tax_key"), F.lit("")), "now_in": nz.country_code(F.coalesce(nz.text_of(F.col("country")), F.col("p.country")))})
     on_file, country = F.col("on_file"), F.col("now_in")
     got = got.withColumn("any_tax", F.coalesce(F.col("tax_key"), on_file))
@@ -79,15 +79,21 @@ def import_summary(matched: DataFrame) -> DataFrame:
 
 def merge_partners(partners: DataFrame, matched: DataFrame, role: str) -> DataFrame:
     """Partners after an import: the last row that states a value wins, blanks keep what is on file, and rows of one new
-    partner (same tax id, else code, else name) make one. New partners have no partner_id yet but their first row."""
-    good = matched.where("error is null").withColumn("entity", F.when(F.col("partner_id").isNotNull(), F.lit(None)).otherwise(F.col("entity")))
+    partner (same tax id, else code, else name) make one. New partners have no partner_id yet but their first row. Both
+    kinds are merged and meet what is on file in one go, so that rows are matched once."""
+    # rows with an error have no slot: a filter on it would be pushed to where the whole rule is evaluated again for each use
+    slotted = matched.withColumn("slot", F.when(F.col("error").isNull(), F.coalesce(_slot(), F.col("entity"))))
     last = lambda c: F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col("row_no")))[c]
-    merged = good.withColumnsRenamed({"tax_key": "tax_id", "new_kind": "kind"}).withColumn("code", nz.text_of(F.col("code"))).groupBy("partner_id", "entity").agg(F.min("row_no").alias("first_row"), F.count("*").alias("n_rows"), *(last(c).alias(f"new_{c}") for c in MERGED))
-    old = partners.withColumn("code", F.col(f"{role}_code"))
-    both = old.select("partner_id", *MERGED).join(merged.where("partner_id is not null"), "partner_id", "left")
-    pick = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c)
-    updated = both.select("partner_id", F.lit(None).cast("long").alias("first_row"), *map(pick, MERGED), F.when(F.col("n_rows").isNull(), "kept").otherwise("updated").alias("outcome"))
-    return updated.unionByName(merged.where("partner_id is null").select(F.col("partner_id"), F.col("first_row").cast("long").alias("first_row"), *(F.col(f"new_{c}").alias(c) for c in MERGED), F.lit("created").alias("outcome")))
+    merged = slotted.withColumnsRenamed({"tax_key": "tax_id", "new_kind": "kind"}).withColumn("code", nz.text_of(F.col("code"))).groupBy("slot").agg(F.bool_and(F.col("error").isNull()).alias("good"), F.min("partner_id").alias("found_id"), F.min("row_no").cast("long").alias("new_row"), *(last(c).alias(f"new_{c}") for c in MERGED))
+    old = partners.withColumns({"code": F.col(f"{role}_code"), "slot": _slot(), "on_file": F.lit(True)}).select("slot", "on_file", "partner_id", *MERGED)
+    both = old.join(merged, "slot", "full").where("on_file or good and found_id is null")
+    outcome = F.when(F.col("on_file").isNull(), "created").when(F.col("new_row").isNull(), "kept").otherwise("updated")
+    return both.select("partner_id", F.when(F.col("on_file").isNull(), F.col("new_row")).alias("first_row"), *(F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) for c in MERGED), outcome.alias("outcome"))
+
+
+def _slot() -> Column:
+    """What a partner on file is merged by; no entity of a new one is equal to it."""
+    return F.concat(F.lit("p:"), F.col("partner_id").cast("string"))
 
 
 def catalogue_errors(rows: DataFrame) -> DataFrame:
