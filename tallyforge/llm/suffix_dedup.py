@@ -3,9 +3,11 @@
 Every string of N bytes belongs to its least K-gram hash, so equal strings of two documents have equal keys. A run is
 a stretch of neighbouring strings with one key. Runs travel as two hashes of different make, 96 bits in all: a polynomial
 of their bytes and one of the mixed hashes of their K-grams. Runs that an earlier document has whole are settled by
-them. The edges of repeats, runs whose key other texts share, are fetched as bytes and suffix-sorted: prefix
-polynomial hashes and binary search find the common extension of two suffixes, mergesort orders them by it, and bytes
-confirm each equality.
+them. The edges of repeats are fetched as bytes and suffix-sorted: prefix polynomial hashes and binary search find the
+common extension of two suffixes, mergesort orders them by it, and bytes confirm each equality. An edge is a run whose
+key other texts share next to the bytes on one of its sides: a string holds HALF bytes on the left of its key's K-gram or
+on the right of it, so runs that share a string agree in one of the two tags that they carry for these bytes. The key
+alone isn't enough: K bytes are shared by chance, by the more texts the more there are.
 """
 
 from __future__ import annotations
@@ -22,20 +24,26 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 N, K = 50, 16
+HALF = (N - K) // 2
 #: Text bytes for each bucket of run hashes, and for one block of documents within a task.
 BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 2_000_000
-#: A key with more different runs than this is a hot one: its strings are dealt to places by their own hashes instead of
-#: by the key, so that no place holds them all. Either way gives the same result.
-MANY_RUNS = 256
+#: A key with more different edges than this is a hot one: its runs are cut up by their least LONG_K-grams and dealt to
+#: places by these instead of by the key, and string by string from HOT_RUNS on, so that no place holds them all. Each way
+#: gives the same result, but a string alone takes 50 bytes where the next one in a run takes one.
+MANY_RUNS, HOT_RUNS = 256, 65_536
+LONG_K = 42
 SORT_STRINGS = 200_000
-WHOLE, EDGE, MANY = 1, 2, 3
+KINDS = WHOLE, EDGE, MANY, SINGLE = 1, 2, 3, 4
 
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 #: key: 32 bits of the key, enough within a bucket (keys that agree in them only cost sorting).
-RUN = np.dtype([("key", "<u4"), ("check", "<u4"), ("hash", "<u8"), ("doc", "<u4"), ("run", "<u4")])
+#: left, right: tags of the K-gram with HALF bytes on that side; NO_TAG if no string of the run holds them, ANY_TAG on both
+#: sides if the K-gram is met more than once. doc: on its way, the step from the record before.
+RUN = np.dtype([("key", "<u4"), ("check", "<u4"), ("hash", "<u8"), ("doc", "<u4"), ("run", "<u4"), ("left", "<u2"), ("right", "<u2")])
+NO_TAG, ANY_TAG = 0, 0xFFFF
 MARKS = "doc_id long, version long, mark long"
 SPANS = "doc_id long, version long, start long, end long"
 
@@ -58,20 +66,36 @@ def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, np.cumprod(inverse)
 
 
-def runs(docs: list[bytes], hashed: bool = True) -> tuple[np.ndarray, ...]:
-    """(document, first string, number of strings, key, hash, check) of all runs of a block of documents; positions
-    are bytes from the document's start. A document's runs don't depend on its neighbours. hashed=False leaves the
-    two hashes out."""
+def _tags(grams: np.ndarray, total: np.ndarray, inverse: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The left and right tags of runs, whose K-gram is sought in their first and last string."""
+    low, least, last = grams.astype(np.uint32), key.astype(np.uint32)[:, None], start + count - 1
+    windows = np.lib.stride_tricks.sliding_window_view(low, N - K + 1)
+    head, tail = windows[start] == least, windows[last] == least
+    at = start + head.argmax(1)
+    once = (np.count_nonzero(head, 1) == 1) & (np.count_nonzero(tail, 1) == 1) & (last + tail.argmax(1) == at)
+
+    def tag(a, b, inside):
+        a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+        tags = (_mix((total[b] - total[a]) * inverse[a]) >> np.uint64(32)) % np.uint64(ANY_TAG - 1) + np.uint64(1)
+        return np.where(once, np.where(inside, tags, NO_TAG), ANY_TAG)
+
+    return tag(at - HALF, at + K, at - HALF >= start), tag(at, at + K + HALF, at + K + HALF <= last + N)
+
+
+def runs(docs: list[bytes], hashed: bool = True, k: int = K) -> tuple[np.ndarray, ...]:
+    """(document, first string, number of strings, key, hash, check, left, right) of all runs of a block of documents;
+    positions are bytes from the document's start. A document's runs don't depend on its neighbours. hashed=False leaves
+    the two hashes and the tags out, and may go by K-grams of another length k."""
     sizes = np.array([len(d) for d in docs], np.int64)
     ends = np.cumsum(sizes)
     buf = np.frombuffer(b"".join(docs), np.uint8)
     none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(buf) < N:
-        return none, none, none, no_hash, no_hash, no_hash
+        return none, none, none, *[no_hash] * 5
     total, inverse = prefix_hashes(buf)
-    grams = _mix((total[K:] - total[:-K]) * inverse[: len(buf) - K + 1])
+    grams = _mix((total[k:] - total[:-k]) * inverse[: len(buf) - k + 1])
     low, width = grams, 1
-    span = N - K + 1
+    span = N - k + 1
     if not hashed:
         del total, inverse
     while 2 * width <= span:
@@ -86,7 +110,7 @@ def runs(docs: list[bytes], hashed: bool = True) -> tuple[np.ndarray, ...]:
     head[(begins + counts)[counts > 0]] = True
     bounds = np.flatnonzero(head)
     if not len(bounds):
-        return none, none, none, no_hash, no_hash, no_hash
+        return none, none, none, *[no_hash] * 5
     bounds = bounds if bounds[-1] == len(low) else np.append(bounds, len(low))
     start, count = bounds[:-1], np.diff(bounds)
     doc = np.searchsorted(ends, start, side="right")
@@ -94,15 +118,16 @@ def runs(docs: list[bytes], hashed: bool = True) -> tuple[np.ndarray, ...]:
     start, count, doc = start[good], count[good], doc[good]
     key = low[start]
     if not len(start):
-        return none, none, none, no_hash, no_hash, no_hash
+        return none, none, none, *[no_hash] * 5
     local = start - (ends - sizes)[doc]
     if not hashed:
-        return doc, local, count, key, no_hash, no_hash
+        return doc, local, count, key, *[no_hash] * 4
+    left, right = _tags(grams, total, inverse, start, count, key)
     digest = _mix((total[start + count + N - 1] - total[start]) * inverse[start] + count.astype(np.uint64))
     grams *= np.cumprod(np.full(len(grams), np.uint64(_B)))
     sums = np.concatenate([no_hash, [np.uint64(0)], np.cumsum(grams)])
     check = _mix((sums[start + count + N - K] - sums[start]) * inverse[start]) >> np.uint64(32)
-    return doc, local, count, key, digest, check
+    return doc, local, count, key, digest, check, left, right
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,16 +208,40 @@ def _blocks(batches):
         yield held
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, all second ones and so on: those that are zero in most values take no room when compressed."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+
+
+def _packed(known: np.ndarray, part: np.ndarray) -> tuple[bytes, bytes]:
+    """Runs in the order of their documents, and the (doc_id, version) of these, both as steps and planes."""
+    used, doc = np.unique(part["doc"], return_inverse=True)
+    part["doc"] = np.diff(doc, prepend=0)
+    return _planes(np.diff(known[used, 0], prepend=0)) + _planes(known[used, 1]), _planes(part)
+
+
+def _unpacked(ids: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id, version) of each run, and the runs."""
+    half, rec = len(ids) // 2, _from_planes(packed, RUN)
+    known = np.array([np.cumsum(_from_planes(ids[:half], np.dtype("<i8"))), _from_planes(ids[half:], np.dtype("<i8"))]).T
+    return known[np.cumsum(rec["doc"], dtype=np.int64)], rec
+
+
 def _hashed(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, the block's (doc_id, version) and its runs that fall into the bucket."""
 
     def hashed(batches):
         for ids, versions, texts in _blocks(batches):
-            doc, _, _, key, digest, check = runs(texts)
+            doc, _, _, key, digest, check, left, right = runs(texts)
             if not len(doc):
                 continue
             rec = np.empty(len(doc), RUN)
             rec["key"], rec["check"], rec["hash"], rec["doc"] = key, check, digest, doc
+            rec["left"], rec["right"] = left, right
             rec["run"] = np.arange(len(doc)) - np.searchsorted(doc, doc)
             bucket = ((key * np.uint64(_B)) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -201,9 +250,8 @@ def _hashed(docs: DataFrame, buckets: int) -> DataFrame:
             known = np.array([ids, versions], "<i8").T
             out = [[], [], []]
             for a, b in zip(cuts, [*cuts[1:], len(rec)]):
-                part = rec[a:b]
-                used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                out[0].append(int(bucket[a])), out[1].append(known[used].tobytes()), out[2].append(part.tobytes())
+                for col, v in zip(out, (int(bucket[a]), *_packed(known, rec[a:b]))):
+                    col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "ids", "runs"])
 
     return docs.mapInArrow(hashed, "bucket long, ids binary, runs binary")
@@ -213,35 +261,55 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _settle(parts: list[tuple[bytes, bytes]], many: int) -> pa.RecordBatch:
-    """Marks run * 4 + kind of all runs in a bucket that an earlier document has, or whose key other runs share."""
-    recs = [np.frombuffer(r, RUN) for _, r in parts]
-    ids = np.concatenate([np.frombuffer(i, "<i8").reshape(-1, 2)[r["doc"]] for (i, _), r in zip(parts, recs)])
-    rec = np.concatenate(recs)
+def _shared(key: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which runs may share a string with one of another document: they have a tag in common with it, or one of their key
+    has any tag."""
+    out = np.zeros(len(key), bool)
+    if not len(key):
+        return out
+    for tag in (left, right, None):
+        group = key.astype(np.uint64) << np.uint64(16) | (0 if tag is None else tag)
+        order = np.argsort(group, kind="stable")
+        new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        heads = np.flatnonzero(new)
+        found = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+        found &= np.logical_or.reduceat(left[order] == ANY_TAG, heads) if tag is None else tag[order][heads] != NO_TAG
+        out[order] |= found[np.cumsum(new) - 1]
+    return out
+
+
+def _settle(parts: list[tuple[bytes, bytes]], many: int, hot: int) -> pa.RecordBatch:
+    """Marks run * 8 + kind of all runs in a bucket that an earlier document has, or that may be edges."""
+    ids, rec = (np.concatenate(x) for x in zip(*(_unpacked(*p) for p in parts)))
     key = (rec["key"].astype(np.uint64) << np.uint64(32)) | rec["check"]
     order = np.lexsort((ids[:, 0], rec["hash"], key))
     (doc, version), key, digest, run = ids[order].T, key[order], rec["hash"][order], rec["run"][order].astype(np.int64)
     new_key = np.concatenate([[True], key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)])
     new_run = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
     least = doc[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
-    variants = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
-    kind = np.where(doc > least, WHOLE, np.where(variants > many, MANY, np.where(variants > 1, EDGE, 0)))
-    take = kind > 0
-    return _batch(MARKS, doc[take], version[take], run[take] * 4 + kind[take])
-
-
-def _marked(hashed: DataFrame, many: int) -> DataFrame:
+    of_key = lambda x: np.add.reduceat(x.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+    whole, edge = doc > least, np.zeros(len(doc), bool)
+    ask = np.flatnonzero(~whole & (of_key(new_run) > 1))
+    edge[ask] = _shared(key[ask] >> np.uint64(32), rec["left"][order[ask]], rec["right"][order[ask]], doc[ask])
+    met = of_key(edge & new_run)
+    kind = np.where(whole, WHOLE, np.where(edge, np.where(met > hot, SINGLE, np.where(met > many, MANY, EDGE)), 0))
+    take = np.flatnonzero(kind)
+    take = take[np.lexsort((run[take], doc[take]))]
+    return _batch(MARKS, doc[take], version[take], run[take] * 8 + kind[take])
+
+
+def _marked(hashed: DataFrame, many: int, hot: int) -> DataFrame:
     def settle(batches):
         at, parts = None, []
         for batch in batches:
             for b, i, r in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != at and parts:
-                    yield _settle(parts, many)
+                    yield _settle(parts, many, hot)
                     parts = []
                 at = b
                 parts.append((i, r))
         if parts:
-            yield _settle(parts, many)
+            yield _settle(parts, many, hot)
 
     return hashed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, MARKS)
 
@@ -257,14 +325,14 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _edges(joined: DataFrame) -> DataFrame:
-    """What marks ask for: the bytes of edges (whole runs by their key, or single strings by their hash where a key has
-    many runs), and the settled stretches, which need no sort and have no bytes."""
+    """What marks ask for: the bytes of edges (whole runs by their key, or pieces of them by the least long gram or the
+    hash of a string where a key has many runs), and the settled stretches, which need no sort and have no bytes."""
 
     def edges(batches):
         for ids, versions, texts, marks in _blocks(batches):
-            doc, start, count, key, _, _ = runs(texts, hashed=False)
+            doc, start, count, key, *_ = runs(texts, hashed=False)
             first = np.searchsorted(doc, np.arange(len(texts)))
-            out, single = [], []
+            out, cut = [], {MANY: [], SINGLE: []}
 
             def settled(d, starts, ends):
                 for a, b in zip(*(x.tolist() for x in _merged(starts, ends))):
@@ -272,27 +340,29 @@ def _edges(joined: DataFrame) -> DataFrame:
 
             for d, (text, lists) in enumerate(zip(texts, marks)):
                 m = np.array(lists, np.int64)
-                whole = first[d] + m[m % 4 == WHOLE] // 4
+                whole, edge, *more = (first[d] + m[m % 8 == k] // 8 for k in KINDS)
                 settled(d, start[whole], start[whole] + count[whole] + N - 1)
-                for k in (EDGE, MANY):
-                    i = first[d] + m[m % 4 == k] // 4
-                    for place, s, c in zip(key[i].view("<i8").tolist(), start[i].tolist(), count[i].tolist()):
-                        if k == EDGE:
-                            out.append((place, ids[d], versions[d], s, s + c + N - 1, text[s : s + c + N - 1]))
-                        else:
-                            single += ((text[p : p + N], d, p) for p in range(s, s + c))
-            least: dict[bytes, int] = {}
-            for part, d, _ in single:
+                for place, s, c in zip(key[edge].view("<i8").tolist(), start[edge].tolist(), count[edge].tolist()):
+                    out.append((place, ids[d], versions[d], s, s + c + N - 1, text[s : s + c + N - 1]))
+                for k, i in zip(cut, more):
+                    cut[k] += ((text[s : s + c + N - 1], d, s) for s, c in zip(start[i].tolist(), count[i].tolist()))
+            parts, least = [], {}
+            for k, own in cut.items():
+                if own:
+                    piece, at, c, place, *_ = runs([x[0] for x in own], hashed=False, k=LONG_K if k == MANY else N)
+                    for j, a, b, to in zip(piece.tolist(), at.tolist(), (at + c + N - 1).tolist(), place.view("<i8").tolist()):
+                        text, d, s = own[j]
+                        parts.append((to, d, s + a, text[a:b]))
+            for _, d, _, part in parts:
                 least[part] = min(ids[d], least.get(part, ids[d]))
             known = defaultdict(list)
-            for part, d, p in single:  # only the first document of the block has to ask the others
+            for place, d, s, part in parts:  # only the first document of the block has to ask the others
                 if least[part] < ids[d]:
-                    known[d].append(p)
+                    known[d].append((s, s + len(part)))
                 else:
-                    place = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                    out.append((place, ids[d], versions[d], p, p + N, part))
+                    out.append((place, ids[d], versions[d], s, s + len(part), part))
             for d, places in known.items():
-                settled(d, np.array(places), np.array(places) + N)
+                settled(d, *np.array(places).T)
             cols = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))], names=["place", "doc_id", "version", "start", "end", "part"])
 
@@ -344,7 +414,7 @@ def _spans(edges: DataFrame) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def repeated_spans(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
+def repeated_spans(docs: DataFrame, many_runs: int = MANY_RUNS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row for each row of docs: removed byte spans of its UTF-8 text, their counts and the digest of the rest.
 
     A byte goes if a string of N bytes over it also starts in a document with a smaller doc_id. Null texts are empty;
@@ -352,17 +422,23 @@ def repeated_spans(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
     neither lose nor cause anything; rows of one doc_id, of equal or different texts, don't remove one another; an
     empty table gives no rows; other columns are not read.
 
-    Runs of texts travel once as records of 24 bytes, texts twice, next to what is asked of them; the shuffles and
-    tables of a step are removed before the next but one.
+    Runs of texts travel once as records of 28 bytes, about 23 compressed, texts twice, next to what is asked of them; the
+    shuffles and tables of a step are removed before the next but one. Texts are told apart by a hash if a doc_id has several.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
     known = docs.where("doc_id is not null and text is not null")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gathered = lambda df, *cols: df.groupBy("doc_id", "version").agg(*(F.collect_list(c).alias(c) for c in cols))
-    marks = stored(_marked(_hashed(known, max(1, total // BUCKET_BYTES)), many_runs), "marks")
-    spans = stored(_spans(_edges(known.join(gathered(marks, "mark").hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "mark"))), "spans")
+    by_id = known.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"), (F.min("version") < F.max("version")).alias("several"))
+    total, several = by_id.agg(F.sum("n"), F.max("several")).first()
+    total = total or 0
+    if not several:  # eight bytes less for each document and bucket, and for each mark
+        docs = docs.withColumn("version", F.lit(0).cast("long"))
+        known = docs.where("doc_id is not null and text is not null")
+    keys = ["doc_id", "version"] if several else ["doc_id"]
+    gathered = lambda df, *cols: df.groupBy(*keys).agg(*(F.collect_list(c).alias(c) for c in cols)).hint("merge")
+    marks = stored(_marked(_hashed(known, max(1, total // BUCKET_BYTES)), many_runs, hot_runs), "marks")
+    spans = stored(_spans(_edges(known.join(gathered(marks, "mark"), keys).select("doc_id", "version", "text", "mark"))), "spans")
     dropped(marks)
-    joined = docs.join(gathered(spans, "start", "end").hint("merge"), ["doc_id", "version"], "left").select("doc_id", "version", "text", "start", "end")
+    joined = docs.join(gathered(spans, "start", "end"), keys, "left").select("doc_id", "version", "text", "start", "end")
 
     def cut(batches):
         for ids, _, texts, starts, ends in _blocks(batches):
